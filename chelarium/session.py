@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,17 @@ def drop_settled(spark: SparkSession, df: DataFrame) -> None:
     for name in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chelarium_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="chelarium-")) / "chelarium.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._chelarium_shipped = True
