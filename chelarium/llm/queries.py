@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chelarium.llm import neardup, overlap, residues
+from chelarium.llm import encoding, leakage, neardup, overlap, reading, residues
 from chelarium.session import settle
 
 
@@ -29,6 +29,40 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(p6_found(spark, sf_dir), table(spark, sf_dir, "ml_ready_features"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per suite: items, leaked items, and the documents that hold them."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "suite")
+    held = p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return items.join(held, "item_id", "left").groupBy("suite").agg(F.count("*").alias("n_items"), F.count("n_docs").alias("n_leaked"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_links"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per source and level."""
+    source = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return p9_found(spark, sf_dir).join(source, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_profile": p9_profile,
+}
 
 ORACLES: dict[str, str] = {}
