@@ -108,9 +108,14 @@ class PassageIndex:
         width = 2 * max(1, self.edits)
         # bands of twice the edits, each overlapping the next by half, so that k diagonals lie wholly within one
         band = np.concatenate([diagonal // width * 2, (diagonal + width // 2) // width * 2 - 1])
-        key = np.stack([np.tile(d, 2), np.tile(item, 2), band], axis=1)
-        bands, count = np.unique(key, axis=0, return_counts=True) if len(key) else (key, np.empty(0, np.int64))
-        kept = bands[count >= self.bound[bands[:, 1]]] if len(bands) else bands
+        kept = np.empty((0, 3), np.int64)
+        if len(band):
+            least, n_items = band.min(), len(self.item_words)
+            pair = np.tile(d * n_items + item, 2)
+            pair_no = np.unique(pair, return_inverse=True)[1]
+            _, first, count = np.unique(pair_no * (int(band.max() - least) + 1) + (band - least), return_index=True, return_counts=True)
+            enough = first[count >= self.bound[pair[first] % n_items]]
+            kept = np.stack([pair[enough] // n_items, pair[enough] % n_items, band[enough]], axis=1)
         found = {}
         for t, i, b in kept.tolist():
             low = b // 2 * width if b % 2 == 0 else (b + 1) // 2 * width - width // 2
