@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chelarium.llm import encoding, leakage, neardup, overlap, reading, residues
+from chelarium.llm import encoding, leakage, neardup, overlap, reading, residues, splits
 from chelarium.session import settle
 
 
@@ -21,6 +21,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.least("x", "y").alias("variant_id_a"), F.greatest("x", "y").alias("variant_id_b"))
 
 
+_LINKS = ["source_paper", "submitter"]
+
+
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "ml_ready_features")
+    return rows, settle(splits.entity_names(rows, "variant_id", table(spark, sf_dir, "protein_variants")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = _features(spark, sf_dir)
+    return splits.linked_groups(rows, "variant_id", _LINKS, names).select(F.col("name").alias("variant_id"), "group_id")
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = _features(spark, sf_dir)
+    return splits.split_groups(rows, "variant_id", _LINKS, "selectivity_cluster", names).withColumnRenamed("name", "variant_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, sf_dir, "ml_ready_features"), table(spark, sf_dir, "protein_variants"))
 
@@ -56,6 +74,8 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_splits": p5_splits,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_ids": p7_ids,
