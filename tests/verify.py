@@ -23,9 +23,11 @@ def rows(pdf: pd.DataFrame) -> list[tuple]:
             return tuple(map(plain, x))
         if isinstance(x, dict):
             return tuple(sorted((k, plain(v)) for k, v in x.items()))
-        if x is None or x is pd.NaT or isinstance(x, float) and x != x:
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and x != x:
             return "null"
-        return str(round(x, 6) + 0.0) if isinstance(x, float) else str(int(x)) if isinstance(x, bool) else str(x)
+        if isinstance(x, float):
+            return str(int(x)) if x == int(x) else str(round(x, 6))
+        return str(int(x)) if isinstance(x, bool) else str(x)
 
     pdf = pdf[sorted(pdf.columns)].astype(object)
     return sorted((tuple(plain(x) for x in r) for r in pdf.itertuples(index=False)), key=repr)
