@@ -26,6 +26,7 @@ from chelarium.llm.shingles import mix
 Q = 12
 PASSAGE_WORDS = 12
 ITEM_BLOCK = 20_000
+SLICE_LETTERS = 1 << 20
 _TABLE_BITS = 24
 
 _WORD = re.compile(r"[^\W_]+")
@@ -122,6 +123,16 @@ class PassageIndex:
             found[t, i] = max(found.get((t, i), 0), self._align(listed[t], self.item_words[i], low, low + width))
         return [(t, i, n) for (t, i), n in found.items() if n >= self.words]
 
+    def find_all(self, texts: list[str | None], letters: int = SLICE_LETTERS) -> list[tuple[int, int, int]]:
+        """find, over slices of about so many letters, which bounds the memory; a text is never cut."""
+        out, start, held = [], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= letters or i == len(texts) - 1:
+                out += [(start + d, item, n) for d, item, n in self.find(texts[start : i + 1])]
+                start, held = i + 1, 0
+        return out
+
     @staticmethod
     def _align(text: list[str], item: list[str], low: int, high: int) -> int:
         """Most consecutive words that text and item have in common at diagonals (in characters) from low to below high."""
@@ -161,7 +172,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             held = index.value
             for pdf in batches:
-                found = held.find(pdf["t"].tolist())
+                found = held.find_all(pdf["t"].tolist())
                 yield pd.DataFrame({"item": [held.ids[i] for _, i, _ in found], "k": pdf["k"].iloc[[t for t, _, _ in found]].to_numpy(), "n_words": [n for _, _, n in found]}, columns=["item", "k", "n_words"])
 
         part = slim.mapInPandas(search, schema)
