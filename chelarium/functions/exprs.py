@@ -75,39 +75,40 @@ def taxonomy_text(parts: dict[str, Column | str]) -> Column:
     return F.nullif(F.concat_ws(" | ", *cells), F.lit(""))
 
 
-def variant_name(c: Column | str) -> Column:
-    """Normalised spelling of a construct's name; null for null and blank.
+def with_variant_name(df: DataFrame, raw: str, name: str = "name") -> DataFrame:
+    """df with the normalised spelling of a construct's name; null for null and blank.
 
     In this order: ortholog numbers become o-N; stacked suffix tags go; a bare mutation gets its protein; split
     names are closed up; organism prefixes get a capital. The ortholog rule is not repeated after tags have gone.
+    Each step is a column of its own, so that no expression is compiled twice.
     """
-    raw = clean_cell(c)
-    ortholog = F.regexp_extract(raw, r"^[oO]-?(\d+)$", 1)
     tags = "|".join(t.replace("(", r"\(").replace(")", r"\)") for t in vocab.SUFFIX_TAGS)
-    bare = F.regexp_replace(raw, rf"(?:-*(?:{tags}))+$", "")
-    owned = F.coalesce(choose(bare, vocab.BARE_MUTATIONS), bare)
-    closed = F.regexp_replace(F.regexp_replace(owned, r"^(\d)\s+([A-Z]\d+[A-Z])$", "$1$2"), r"^WT\s+LanM$", "WT-LanM")
-    prefix = F.substring_index(closed, "-", 1)
-    known = F.lower(prefix).isin(*vocab.ORGANISM_PREFIXES) & closed.contains("-")
-    capital = F.concat(F.initcap(prefix), F.substring(closed, F.length(prefix) + 1, F.length(closed)))
-    return F.when(ortholog != "", F.concat(F.lit("o-"), ortholog)).otherwise(F.when(known, capital).otherwise(closed))
-
-
-def enriched_variant(c: Column | str) -> Column:
-    """struct(canonical_id, construct_type, parent_scaffold) of a name; null if it is dropped or unreadable."""
-    name = variant_name(c)
-    canonical = F.coalesce(choose(name, vocab.CANONICAL_ALIASES), name)
+    out = df.withColumn("_n0", clean_cell(raw))
+    out = out.withColumn("_n1", F.regexp_replace("_n0", rf"(?:-*(?:{tags}))+$", ""))
+    out = out.withColumn("_n2", F.coalesce(choose(F.col("_n1"), vocab.BARE_MUTATIONS), F.col("_n1")))
+    out = out.withColumn("_n3", F.regexp_replace(F.regexp_replace("_n2", r"^(\d)\s+([A-Z]\d+[A-Z])$", "$1$2"), r"^WT\s+LanM$", "WT-LanM"))
+    out = out.withColumns({"_n4": F.regexp_extract("_n0", r"^[oO]-?(\d+)$", 1), "_n5": F.substring_index("_n3", "-", 1)})
+    known = F.lower("_n5").isin(*vocab.ORGANISM_PREFIXES) & F.col("_n3").contains("-")
+    capital = F.concat(F.initcap("_n5"), F.substring(F.col("_n3"), F.length("_n5") + 1, F.length("_n3")))
+    final = F.when(F.col("_n4") != "", F.concat(F.lit("o-"), "_n4")).when(known, capital).otherwise(F.col("_n3"))
+    return out.withColumn(name, final).drop(*(f"_n{i}" for i in range(6)))
+
+
+def with_enriched_variant(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """df with struct(name, canonical_id, construct_type, parent_scaffold) of a name; canonical_id is null if it is dropped or unreadable."""
+    named = with_variant_name(df, raw, "_name").withColumn("_canonical", F.when(~F.col("_name").isin(*vocab.DROPPED_NAMES), F.coalesce(choose(F.col("_name"), vocab.CANONICAL_ALIASES), F.col("_name"))))
     types = {n: t for t, _, ns in vocab.CONSTRUCTS for n in ns}
     scaffolds = {n: s for _, s, ns in vocab.CONSTRUCTS for n in ns}
-    screened = canonical.startswith("o-")
-    return F.when(
-        name.isNotNull() & ~name.isin(*vocab.DROPPED_NAMES),
+    kept, screened = F.col("_canonical").isNotNull(), F.col("_canonical").startswith("o-")
+    return named.withColumn(
+        out,
         F.struct(
-            canonical.alias("canonical_id"),
-            F.coalesce(choose(name, types), F.when(screened, "ortholog").otherwise("unknown")).alias("construct_type"),
-            F.coalesce(choose(name, scaffolds), F.when(screened, "Lanmodulin")).alias("parent_scaffold"),
+            F.col("_name").alias("name"),
+            F.col("_canonical").alias("canonical_id"),
+            F.when(kept, F.coalesce(choose(F.col("_name"), types), F.when(screened, "ortholog").otherwise("unknown"))).alias("construct_type"),
+            F.when(kept, F.coalesce(choose(F.col("_name"), scaffolds), F.when(screened, "Lanmodulin"))).alias("parent_scaffold"),
         ),
-    )
+    ).drop("_name", "_canonical")
 
 
 def element_table(spark: SparkSession) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chelarium.functions import exprs
+from chelarium.session import settle
 
 LONGEST = ("source_organism", "sequence", "taxonomy", "notes")
 FIRST_FILLED = ("parent_variant_id", "mutation_notation", "ef_hand_count", "selectivity_cluster")
@@ -39,42 +42,51 @@ def merge_duplicates(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.groupBy(*keys).agg(*merge_aggregates(pos, fields), F.count("*").alias("n_records"))
 
 
-def enrich_variants(variants: DataFrame) -> DataFrame:
+def enriched_names(*frames: tuple[DataFrame, str]) -> DataFrame:
+    """(raw, e): every distinct name once, read once and kept, as names are few beside the records that use them."""
+    names = reduce(lambda a, b: a.unionByName(b), [df.select(F.col(c).alias("raw")) for df, c in frames]).distinct()
+    return settle(exprs.with_enriched_variant(names, "raw", "e"))
+
+
+def enrich_variants(variants: DataFrame, names: DataFrame) -> DataFrame:
     """variants (paper_id, pos, variant_id, ...) with their old id as raw_id and canonical id, class and scaffold; dropped names are gone."""
-    e = variants.withColumn("_e", exprs.enriched_variant("variant_id")).where("_e IS NOT NULL").withColumn("raw_id", F.col("variant_id"))
-    return e.withColumns({"variant_id": F.col("_e.canonical_id"), "construct_type": F.col("_e.construct_type"), "parent_scaffold": F.col("_e.parent_scaffold")}).drop("_e")
+    e = variants.withColumnRenamed("variant_id", "raw_id").join(names.withColumnRenamed("raw", "raw_id").where("e.canonical_id IS NOT NULL"), "raw_id")
+    return e.withColumns({"variant_id": F.col("e.canonical_id"), "construct_type": F.col("e.construct_type"), "parent_scaffold": F.col("e.parent_scaffold")}).drop("e")
 
 
-def enrich_measurements(measurements: DataFrame, enriched: DataFrame) -> DataFrame:
+def enrich_measurements(measurements: DataFrame, enriched: DataFrame, names: DataFrame) -> DataFrame:
     """measurements with the canonical id that their paper gave the name, else the name's own; dropped names are gone."""
-    given = enriched.groupBy("paper_id", F.col("raw_id").alias("variant_id")).agg(F.min("variant_id").alias("_given"))
-    m = measurements.join(given, ["paper_id", "variant_id"], "left").withColumn("_own", exprs.enriched_variant("variant_id"))
-    return m.withColumn("raw_id", F.col("variant_id")).withColumn("variant_id", F.coalesce("_given", "_own.canonical_id")).where("variant_id IS NOT NULL").drop("_given", "_own")
+    given = enriched.groupBy("paper_id", "raw_id").agg(F.min("variant_id").alias("_given"))
+    m = measurements.withColumnRenamed("variant_id", "raw_id").join(given, ["paper_id", "raw_id"], "left")
+    m = m.join(names.select(F.col("raw").alias("raw_id"), F.col("e.canonical_id").alias("_own")), "raw_id", "left")
+    return m.withColumn("variant_id", F.coalesce("_given", "_own")).where("variant_id IS NOT NULL").drop("_given", "_own")
 
 
-def created_parents(measurements: DataFrame, enriched: DataFrame) -> DataFrame:
+def created_parents(measurements: DataFrame, enriched: DataFrame, names: DataFrame) -> DataFrame:
     """(paper_id, variant_id, construct_type, parent_scaffold): variants that a paper measures but does not list."""
-    orphans = measurements.join(enriched.select("paper_id", "variant_id"), ["paper_id", "variant_id"], "left_anti")
-    e = orphans.withColumn("_e", exprs.enriched_variant("raw_id"))
-    return e.groupBy("paper_id", "variant_id").agg(F.min("_e.construct_type").alias("construct_type"), F.min("_e.parent_scaffold").alias("parent_scaffold"))
+    orphans = measurements.select("paper_id", "variant_id", "raw_id").join(enriched.select("paper_id", "variant_id"), ["paper_id", "variant_id"], "left_anti")
+    e = orphans.join(names.withColumnRenamed("raw", "raw_id"), "raw_id")
+    return e.groupBy("paper_id", "variant_id").agg(F.min("e.construct_type").alias("construct_type"), F.min("e.parent_scaffold").alias("parent_scaffold"))
 
 
 def repair(variants: DataFrame, measurements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(variants, measurements) after enrichment, with parents for orphans and duplicates merged."""
-    v = enrich_variants(variants)
-    m = enrich_measurements(measurements, v)
-    made = created_parents(m, v).withColumns({"source_organism": F.lit("(auto-created from measurement)"), "pos": F.lit(1 << 30), "source_paper": F.col("paper_id")})
+    names = enriched_names((variants, "variant_id"), (measurements, "variant_id"))
+    v = enrich_variants(variants, names)
+    m = enrich_measurements(measurements, v, names)
+    made = created_parents(m, v, names).withColumns({"source_organism": F.lit("(auto-created from measurement)"), "pos": F.lit(1 << 30), "source_paper": F.col("paper_id")})
     return merge_duplicates(v.drop("raw_id").unionByName(made, allowMissingColumns=True), ["paper_id", "variant_id"], "pos").drop("n_records"), m
 
 
 def repair_counts(variants: DataFrame, measurements: DataFrame) -> DataFrame:
     """One row with the eight counters of a repair run."""
-    v = enrich_variants(variants)
-    m = enrich_measurements(measurements, v)
+    names = enriched_names((variants, "variant_id"), (measurements, "variant_id"))
+    v = enrich_variants(variants, names)
+    m = enrich_measurements(measurements, v, names)
     n_in = variants.agg(F.count("*").alias("a"), F.count_distinct("paper_id").alias("papers"))
     n_v = v.agg(F.count("*").alias("b"), F.count_distinct("paper_id", "variant_id").alias("c"), F.coalesce(F.sum((F.col("raw_id") != F.col("variant_id")).cast("long")), F.lit(0)).alias("d"))
     n_m, n_all = m.agg(F.count("*").alias("e")), measurements.agg(F.count("*").alias("f"))
-    n_made = created_parents(m, v).agg(F.count("*").alias("g"))
+    n_made = created_parents(m, v, names).agg(F.count("*").alias("g"))
     one = n_in.crossJoin(n_v).crossJoin(n_m).crossJoin(n_all).crossJoin(n_made)  # one row each
     return one.select(
         F.col("papers").alias("papers_processed"), F.col("c").alias("variants_kept"), (F.col("a") - F.col("b")).alias("variants_dropped"),

@@ -122,7 +122,7 @@ def _positioned_variants(spark, sf_dir):
 
 def q_merge_duplicates(spark, sf_dir):
     return merge.merge_duplicates(_positioned_variants(spark, sf_dir).drop("source_paper"), ["variant"], "record_id").select(
-        "variant", "source_organism", "sequence", "taxonomy", "notes", "parent_variant_id", "mutation_notation", "ef_hand_count", "selectivity_cluster", "mutations", "construct_type", "parent_scaffold", "n_records"
+        "variant", "source_organism", "sequence", "taxonomy", "notes", "parent_variant_id", "mutation_notation", F.coalesce("ef_hand_count", F.lit(-1)).alias("ef_hand_count"), F.coalesce("selectivity_cluster", F.lit(-1)).alias("selectivity_cluster"), "mutations", "construct_type", "parent_scaffold", "n_records"
     )
 
 
@@ -167,7 +167,7 @@ def q_validate_sequence(spark, sf_dir):
 
 def q_variant_names(spark, sf_dir):
     m = table(spark, sf_dir, "binding_measurements").select(F.col("variant_id").alias("raw")).distinct()
-    return m.select("raw", exprs.variant_name("raw").alias("name"), exprs.enriched_variant("raw").alias("e")).select("raw", "name", "e.*")
+    return exprs.with_enriched_variant(m, "raw", "e").select("raw", "e.*")
 
 
 def q_element_names(spark, sf_dir):
@@ -291,7 +291,7 @@ def _fitted(spark, sf_dir):
     strata = folds.entity_strata(matrix.where("split = 'train'"), "variant_id", "selectivity_cluster")
     held = folds.stratified_folds(strata, "variant_id", "selectivity_cluster", 7).select("variant_id", "fold")
     train = matrix.where("split = 'train'").join(held, "variant_id").persist()
-    fitted = model.fit_with_holdout(train.where("fold > 0"), train.where("fold = 0"), names, model.TreeParams(rounds=10, depth=4))
+    fitted = model.fit_with_holdout(train.where("fold > 0"), train.where("fold = 0"), names, model.TreeParams(rounds=5, depth=4))
     train.unpersist()
     return fitted, matrix
 
@@ -307,7 +307,7 @@ def q_importance(spark, sf_dir):
 
 def q_prediction_profile(spark, sf_dir):
     matrix, categories, names = _matrix(spark, sf_dir)
-    fitted = model.fit_with_holdout(matrix.where("split = 'train'"), matrix.where("split = 'test'"), names, model.TreeParams(rounds=5, depth=3))
+    fitted = model.fit_with_holdout(matrix.where("split = 'train'"), matrix.where("split = 'test'"), names, model.TreeParams(rounds=3, depth=3))
     seqs = table(spark, sf_dir, "protein_variants").select(F.col("record_id").alias("seq_id"), "sequence")
     grid = features.profile_rows(seqs, categories, names, vocab.PREDICTED)
     return model.ranked_profile(model.predict(fitted, grid)).select("seq_id", "target_element", "rank", "reduced_confidence", F.round("predicted", 6).alias("predicted"))

@@ -84,7 +84,7 @@ g AS (SELECT variant, count(*) AS n_records, """
     + ", " + ", ".join(f"arg_min({c}, record_id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("parent_variant_id", "mutation_notation"))
     + ", " + ", ".join(f"arg_min(CAST({c} AS INT), record_id) FILTER (WHERE {c} IS NOT NULL AND NOT isnan({c})) AS {c}" for c in ("ef_hand_count", "selectivity_cluster"))
     + ", " + ", ".join(f"arg_min_null({c}, record_id) AS {c}" for c in ("construct_type", "parent_scaffold"))
-    + " FROM p GROUP BY 1) SELECT g.*, coalesce(mutations, []) AS mutations FROM g LEFT JOIN mu ON g.variant IS NOT DISTINCT FROM mu.variant",
+    + " FROM p GROUP BY 1) SELECT g.* REPLACE (coalesce(ef_hand_count, -1) AS ef_hand_count, coalesce(selectivity_cluster, -1) AS selectivity_cluster), coalesce(mutations, []) AS mutations FROM g LEFT JOIN mu ON g.variant IS NOT DISTINCT FROM mu.variant",
     "q_running_ids": "SELECT source_paper, measurement_id, 'lit_' || CASE WHEN k < 10000 THEN lpad(CAST(k AS VARCHAR), 4, '0') ELSE CAST(k AS VARCHAR) END AS running FROM (SELECT source_paper, measurement_id, row_number() OVER (ORDER BY source_paper NULLS FIRST, measurement_id) AS k FROM literature_binding_data)",
     "q_motifs": f"WITH {_HITS} SELECT record_id, unnest(st) AS start, unnest(m) AS motif FROM hits",
     "q_motif_features": f"""WITH {_HITS}, gaps AS (SELECT *, list_transform(range(2, len(st) + 1), lambda i: CAST(st[i] - st[i - 1] AS DOUBLE)) AS gap FROM hits)
