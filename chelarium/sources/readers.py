@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelarium.functions import exprs
@@ -24,13 +24,15 @@ MEASUREMENT = (
 )
 EXTRACTION = f"variants array<{VARIANT}>, measurements array<{MEASUREMENT}>, notes string"
 
-_STEM = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+
+def _stem() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
 
 
 def read_corpus(spark: SparkSession, folder: str, skipped: tuple[str, ...] = SKIPPED_TEXTS) -> DataFrame:
     """(paper_id, text): every .txt file of a folder whole and stripped; hidden, skipped and empty files are left out."""
     name = F.col("_metadata.file_name")
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.[tT][xX][tT]").select(_STEM.alias("paper_id"), name.alias("file"), exprs.strip("value").alias("text"))
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.[tT][xX][tT]").select(_stem().alias("paper_id"), name.alias("file"), exprs.strip("value").alias("text"))
     return raw.where(~F.lower("file").isin(*skipped) & ~F.col("file").startswith(".") & (F.col("text") != "")).select("paper_id", "text")
 
 
@@ -44,7 +46,7 @@ def read_extractions(spark: SparkSession, folder: str) -> DataFrame:
     """(paper_id, variants, measurements, notes): one document per JSON file, missing lists are empty."""
     raw = spark.read.schema(EXTRACTION).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
     return raw.select(
-        _STEM.alias("paper_id"),
+        _stem().alias("paper_id"),
         F.coalesce("variants", F.array().cast(f"array<{VARIANT}>")).alias("variants"),
         F.coalesce("measurements", F.array().cast(f"array<{MEASUREMENT}>")).alias("measurements"),
         "notes",
