@@ -35,7 +35,9 @@ def runs(texts: list[str], k: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     for i in range(k):
         run = (run << _BITS) | codes[i : i + n]
     whole = owner[:n] == owner[k - 1 :]
-    both = np.unique((owner[:n][whole] << (_BITS * k)) | run[whole])
+    both = (owner[:n][whole] << (_BITS * k)) | run[whole]
+    both.sort()
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
     return both >> (_BITS * k), both & ((1 << (_BITS * k)) - 1)
 
 
