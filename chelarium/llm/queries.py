@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelarium.llm import encoding, leakage, neardup, overlap, reading, residues, splits
+from chelarium.llm.queries_sql import ORACLES  # noqa: F401
 from chelarium.session import settle
 
 
@@ -85,4 +86,4 @@ QUERIES = {
     "p9_profile": p9_profile,
 }
 
-ORACLES: dict[str, str] = {}
+

@@ -32,8 +32,10 @@ def union_find(pairs):
     return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(0, None), (1, None), (2, 4)])
+def test_components(spark, seed, hot, monkeypatch):
+    if hot:  # every node with four neighbours takes the way of hot nodes
+        monkeypatch.setattr(components, "hot_from", lambda total: hot)
     rng = random.Random(seed)
     pairs = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(170)]
     pairs += [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("hub", f"h{i}") for i in range(200)]
