@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -35,7 +37,9 @@ def scratch_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="chelarium-")
+        local = tempfile.mkdtemp(prefix="chelarium-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -61,7 +65,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_chelarium_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="chelarium-")) / "chelarium.zip"
+    folder = tempfile.mkdtemp(prefix="chelarium-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "chelarium.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
