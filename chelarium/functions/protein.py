@@ -94,23 +94,35 @@ def instability(seq: Column, weights: dict[str, float]) -> Column:
     return F.when(F.length(seq) > 1, F.lit(10.0) / F.length(seq) * total)
 
 
+def _ionic(seq: Column) -> dict[str, Column]:
+    """What the charge depends on: counts of the ionic residues and the pK of both ends."""
+    end = lambda letter, of, usual: sum((F.when(letter == r, pk - usual).otherwise(0.0) for r, pk in of.items()), F.lit(usual))
+    counts = {f"n_{r}": residue_count(seq, r) for r in (*POSITIVE_PK, *NEGATIVE_PK)}
+    return counts | {"n_end": end(F.substring(seq, 1, 1), N_END_PK_OF, N_END_PK), "c_end": end(F.substring(seq, -1, 1), C_END_PK_OF, C_END_PK)}
+
+
+def _charge(ionic, ph: Column) -> Column:
+    ten = F.lit(10.0)
+    plus = sum((ionic[f"n_{r}"] / (F.pow(ten, ph - pk) + 1) for r, pk in POSITIVE_PK.items()), 1 / (F.pow(ten, ph - ionic["n_end"]) + 1))
+    minus = sum((ionic[f"n_{r}"] / (F.pow(ten, pk - ph) + 1) for r, pk in NEGATIVE_PK.items()), 1 / (F.pow(ten, ionic["c_end"] - ph) + 1))
+    return plus - minus
+
+
 def charge_at(seq: Column, ph: Column) -> Column:
     """Net charge at a pH by the Henderson-Hasselbalch equation."""
-    ten = F.lit(10.0)
-    end = lambda letter, of, usual: sum((F.when(letter == r, pk - usual).otherwise(0.0) for r, pk in of.items()), F.lit(usual))
-    n_end, c_end = end(F.substring(seq, 1, 1), N_END_PK_OF, N_END_PK), end(F.substring(seq, -1, 1), C_END_PK_OF, C_END_PK)
-    plus = sum((residue_count(seq, r) / (F.pow(ten, ph - pk) + 1) for r, pk in POSITIVE_PK.items()), 1 / (F.pow(ten, ph - n_end) + 1))
-    minus = sum((residue_count(seq, r) / (F.pow(ten, pk - ph) + 1) for r, pk in NEGATIVE_PK.items()), 1 / (F.pow(ten, c_end - ph) + 1))
-    return F.when(F.length(seq) > 0, plus - minus)
+    return F.when(F.length(seq) > 0, _charge(_ionic(seq), ph))
 
 
 def isoelectric_point(seq: Column) -> Column:
-    """pH without net charge, by PI_STEPS halvings of the interval from PI_LOW to PI_HIGH."""
-    start = F.struct(F.lit(PI_LOW).alias("lo"), F.lit(PI_HIGH).alias("hi"))
+    """pH without net charge, by PI_STEPS halvings of the interval from PI_LOW to PI_HIGH; residues are counted once."""
+    ionic = _ionic(seq)
+    start = F.struct(F.lit(PI_LOW).alias("lo"), F.lit(PI_HIGH).alias("hi"), *(c.alias(n) for n, c in ionic.items()))
+
     def halve(s, _):
         mid = (s["lo"] + s["hi"]) / 2
-        up = charge_at(seq, mid) > 0
-        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
+        up = _charge(s, mid) > 0
+        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"), *(s[n].alias(n) for n in ionic))
+
     return F.when(F.length(seq) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(PI_STEPS)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chelarium.functions import exprs, protein
 from chelarium.operators import encode, quality
+from chelarium.session import settle
 
 METADATA = ("measurement_id", "variant_id", "target_element", "selectivity_cluster", "value", "split")
 CATEGORICAL = tuple(f"ef{k}_pos{p}" for k in range(1, protein.SHOWN_MOTIFS + 1) for p in protein.MOTIF_PLACES)
@@ -34,12 +35,14 @@ def feature_rows(measurements: DataFrame) -> DataFrame:
     """
     elements = exprs.element_table(measurements.sparkSession).withColumnRenamed("element", "target_element")
     # 17 rows
-    return measurements.join(sequence_features(measurements.select("sequence").distinct()), "sequence").join(F.broadcast(elements), "target_element")
+    per_sequence = settle(sequence_features(measurements.select("sequence")))
+    return measurements.join(per_sequence, "sequence").join(F.broadcast(elements), "target_element")
 
 
 def build_matrix(measurements: DataFrame) -> tuple[DataFrame, dict[str, list[str]], list[str]]:
     """(matrix, categories, feature names): metadata and encoded features; categories come from the training split only."""
-    rows = feature_rows(measurements)
+    # read several times below and by every later fit
+    rows = settle(feature_rows(measurements))
     quality.require_empty(rows.where("split IS NULL"), "variants without a split", "variant_id")
     categories = encode.fit_categories(rows.where("split = 'train'"), list(CATEGORICAL))
     numerics = [c for c in rows.columns if c not in METADATA and c not in CATEGORICAL and c != "sequence"]
