@@ -2,7 +2,7 @@
 
 Differences from a native gradient booster are Spark ML's: absent numbers are a constant, as trees take no
 NaN; features are drawn per node; there is no L1 or L2 penalty. Early stopping has patience: the model is fitted in
-full, scored per tree on the held-out rows, and refitted with the best number of trees.
+full, scored per tree on the held-out rows, and cut after the best number of trees.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -60,14 +61,26 @@ def _pipeline(names: list[str], p: TreeParams, rounds: int) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), trees])
 
 
+def _first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first n trees; boosting draws by round, so a fit of n rounds would give the same trees."""
+    sc = SparkContext.getOrCreate()
+    java = sc._jvm.org.apache.spark.ml.regression
+    trees = sc._gateway.new_array(java.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(model._java_obj.trees())[:n], model.treeWeights)):
+        trees[i], weights[i] = tree, weight
+    cut = GBTRegressionModel(java.GBTRegressionModel(model.uid, trees, weights, model.numFeatures))
+    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
 def fit_with_holdout(train: DataFrame, holdout: DataFrame, names: list[str], params: TreeParams | None = None) -> Fitted:
-    """Best number of trees by holdout error, then refitted with that many."""
+    """Fitted in full, then cut after the best number of trees by holdout error."""
     p = params or TreeParams()
     full = _pipeline(names, p, p.rounds).fit(_dense(train, names))
     scored = full.stages[0].transform(_dense(holdout, names))
     errors = full.stages[-1].evaluateEachIteration(scored, "squared")
     best = int(np.argmin(errors)) + 1
-    final = full if best == p.rounds else _pipeline(names, p, best).fit(_dense(train, names))
+    final = PipelineModel([full.stages[0], _first_trees(full.stages[-1], best)])
     return Fitted(final, names, best, math.sqrt(errors[best - 1]), p)
 
 

@@ -287,17 +287,18 @@ def q_feature_matrix(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    matrix, _, names = _matrix(spark, sf_dir)
+    """(fitted, matrix, categories, names): the production parameters; the best number of trees by a holdout carved from the training variants."""
+    matrix, categories, names = _matrix(spark, sf_dir)
     strata = folds.entity_strata(matrix.where("split = 'train'"), "variant_id", "selectivity_cluster")
     held = folds.stratified_folds(strata, "variant_id", "selectivity_cluster", 7).select("variant_id", "fold")
     train = matrix.where("split = 'train'").join(held, "variant_id").persist()
-    fitted = model.fit_with_holdout(train.where("fold > 0"), train.where("fold = 0"), names, model.TreeParams(rounds=5, depth=4))
+    fitted = model.fit_with_holdout(train.where("fold > 0"), train.where("fold = 0"), names, model.TreeParams())
     train.unpersist()
-    return fitted, matrix
+    return fitted, matrix, categories, names
 
 
 def q_gbt_metrics(spark, sf_dir):
-    fitted, matrix = _fitted(spark, sf_dir)
+    fitted, matrix, _, _ = _fitted(spark, sf_dir)
     return _rounded(ranks.regression_metrics(model.predict(fitted, matrix.where("split = 'test'")), "value", "predicted"))
 
 
@@ -306,8 +307,7 @@ def q_importance(spark, sf_dir):
 
 
 def q_prediction_profile(spark, sf_dir):
-    matrix, categories, names = _matrix(spark, sf_dir)
-    fitted = model.fit_with_holdout(matrix.where("split = 'train'"), matrix.where("split = 'test'"), names, model.TreeParams(rounds=3, depth=3))
+    fitted, _, categories, names = _fitted(spark, sf_dir)
     seqs = table(spark, sf_dir, "protein_variants").select(F.col("record_id").alias("seq_id"), "sequence")
     grid = features.profile_rows(seqs, categories, names, vocab.PREDICTED)
     return model.ranked_profile(model.predict(fitted, grid)).select("seq_id", "target_element", "rank", "reduced_confidence", F.round("predicted", 6).alias("predicted"))

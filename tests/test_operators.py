@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chelarium import cli
 from chelarium.functions import vocab
 from chelarium.operators import encode, features, folds, merge, model, quality, ranks, tables
+from chelarium.plans import reference
 from chelarium.sources import readers
 from chelarium.sources.xlsx import SheetSource, header_names
 from chelarium.streaming import adapter
@@ -243,3 +244,33 @@ def test_tuning(spark):
     assert {r.trial for r in got} == {0, 1} and min(r["rank"] for r in got) == 1
     ranked = model.trial_ranks(spark.createDataFrame([(1, 0.5, 89), (1, 0.5, 73), (1, 0.5, 59), (1, 0.5, 83), (1, 0.5, 50), (2, 0.5, 1), (3, 0.1, 1)], "trial int, score double, best_round int")).collect()
     assert {r.trial: (r["rank"], r.median_round, r.std_score) for r in ranked} == {1: (1, 73, 0.0), 2: (1, 1, 0.0), 3: (3, 1, 0.0)}
+
+
+def test_tree_queries_fit_in_production(spark, monkeypatch):
+    made = features.build_matrix(matrix_rows(spark))
+    monkeypatch.setattr(reference, "_matrix", lambda spark, sf_dir: made)
+    calls = []
+
+    def stop(train, holdout, names, params):
+        calls.append((params, *({r.variant_id for r in d.select("variant_id").distinct().collect()} for d in (train, holdout))))
+        raise InterruptedError
+
+    monkeypatch.setattr(reference.model, "fit_with_holdout", stop)
+    for q in (reference.q_gbt_metrics, reference.q_importance, reference.q_prediction_profile):
+        with pytest.raises(InterruptedError):
+            q(spark, "")
+    test = {f"v{i}" for i in range(0, 24, 4)}
+    for params, train, holdout in calls:
+        assert params == model.TreeParams() and train and holdout and not train & holdout and not test & (train | holdout)
+    assert len(calls) == 3
+
+
+def test_first_trees_equal_a_shorter_fit(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 7) * 2 + i % 3) for i in range(80)], "a double, b double, value double").coalesce(1).persist()
+    fit = lambda n: model._pipeline(["a", "b"], model.TreeParams(depth=2), n).fit(df)
+    long, short = fit(6), fit(4)
+    cut = model._first_trees(long.stages[-1], 4)
+    assert cut.getNumTrees == 4 and cut.treeWeights == short.stages[-1].treeWeights
+    a = [r.predicted for r in cut.transform(long.stages[0].transform(df)).collect()]
+    assert a == [r.predicted for r in short.transform(df).collect()] != [r.predicted for r in long.transform(df).collect()]
+    df.unpersist()
