@@ -28,7 +28,9 @@ def main(argv: list[str] | None = None) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     try:
         if args.command == "corpus":
-            readers.read_corpus(spark, args.folder).select("paper_id", F.length("text").alias("n_chars")).orderBy("paper_id").show(1000, False)
+            # one row at a time, as the listing may be longer than the driver holds
+            for r in readers.read_corpus(spark, args.folder).select("paper_id", F.length("text").alias("n_chars")).orderBy("paper_id").toLocalIterator():
+                print(r.paper_id, r.n_chars, sep="\t")
         elif args.command == "cost":
             texts = readers.read_corpus(spark, args.folder)
             if args.paper:

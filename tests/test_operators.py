@@ -274,3 +274,12 @@ def test_first_trees_equal_a_shorter_fit(spark):
     a = [r.predicted for r in cut.transform(long.stages[0].transform(df)).collect()]
     assert a == [r.predicted for r in short.transform(df).collect()] != [r.predicted for r in long.transform(df).collect()]
     df.unpersist()
+
+
+def test_corpus_lists_every_paper(spark, tmp_path, capsys, monkeypatch):
+    papers = spark.range(1001).selectExpr("format_string('p%04d', id) paper_id", "'text' text")
+    monkeypatch.setattr(readers, "read_corpus", lambda spark, folder: papers)
+    capsys.readouterr()
+    assert cli.main(["corpus", str(tmp_path)]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert [x for x in lines if x.startswith("p")] == [f"p{i:04d}\t4" for i in range(1001)]
