@@ -13,14 +13,20 @@ METADATA = ("measurement_id", "variant_id", "target_element", "selectivity_clust
 CATEGORICAL = tuple(f"ef{k}_pos{p}" for k in range(1, protein.SHOWN_MOTIFS + 1) for p in protein.MOTIF_PLACES)
 ELEMENT_NUMBERS = ("atomic_number", "oxidation_state", "ionic_radius_pm", "is_lanthanide", "charge_density")
 ABSENT_NUMBER = -1.0
+INSTABILITY = "instability_index"
 
 
-def sequence_features(df: DataFrame, column: str = "sequence") -> DataFrame:
-    """(column, features): one row per distinct canonical sequence; sequences with other letters have none."""
+def sequence_features(df: DataFrame, column: str = "sequence", weights: dict[str, float] | None = None) -> DataFrame:
+    """(column, features): one row per distinct canonical sequence; sequences with other letters have none.
+
+    weights: of the instability index, by dipeptide; without them that feature is left out.
+    """
     seq = F.upper(exprs.strip(column))
     distinct = df.select(F.col(column), seq.alias("_s")).where(F.col("_s").rlike(f"^[{protein.CANONICAL}]+$")).distinct()
     with_hits = distinct.withColumn("_h", protein.motifs(F.col("_s")))
     made = protein.sequence_numbers(F.col("_s")) | protein.motif_letters(F.col("_h")) | protein.motif_numbers(F.col("_h"), F.col("_s"))
+    if weights:
+        made[INSTABILITY] = protein.instability(F.col("_s"), weights)
     return with_hits.select(column, *(c.alias(n) for n, c in made.items()))
 
 
@@ -28,21 +34,21 @@ def numeric_names(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in CATEGORICAL and c != "sequence"]
 
 
-def feature_rows(measurements: DataFrame) -> DataFrame:
+def feature_rows(measurements: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """measurements (sequence, target_element, ...) with all raw features; rows without sequence or with an unknown element are left out.
 
     Use `quality.unmatched` on the inputs first where such rows are an error.
     """
     elements = exprs.element_table(measurements.sparkSession).withColumnRenamed("element", "target_element")
     # 17 rows
-    per_sequence = settle(sequence_features(measurements.select("sequence")))
+    per_sequence = settle(sequence_features(measurements.select("sequence"), weights=weights))
     return measurements.join(per_sequence, "sequence").join(F.broadcast(elements), "target_element")
 
 
-def build_matrix(measurements: DataFrame) -> tuple[DataFrame, dict[str, list[str]], list[str]]:
+def build_matrix(measurements: DataFrame, weights: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, list[str]], list[str]]:
     """(matrix, categories, feature names): metadata and encoded features; categories come from the training split only."""
     # read several times below and by every later fit
-    rows = settle(feature_rows(measurements))
+    rows = settle(feature_rows(measurements, weights))
     quality.require_empty(rows.where("split IS NULL"), "variants without a split", "variant_id")
     categories = encode.fit_categories(rows.where("split = 'train'"), list(CATEGORICAL))
     numerics = [c for c in rows.columns if c not in METADATA and c not in CATEGORICAL and c != "sequence"]
@@ -51,14 +57,16 @@ def build_matrix(measurements: DataFrame) -> tuple[DataFrame, dict[str, list[str
     return encode.align(encoded, names, [c for c in METADATA if c in encoded.columns]), categories, names
 
 
-def profile_rows(sequences: DataFrame, categories: dict[str, list[str]], names: list[str], elements: tuple[str, ...]) -> DataFrame:
+def profile_rows(sequences: DataFrame, categories: dict[str, list[str]], names: list[str], elements: tuple[str, ...], weights: dict[str, float] | None = None) -> DataFrame:
     """sequences (seq_id, sequence) by every element, with features as in training: same functions, frozen categories, aligned.
 
-    Invalid sequences stay out; see protein.validated_sequence for why.
+    Invalid sequences stay out; see protein.validated_sequence for why. weights: those of the training matrix, if it had any.
     """
+    if (INSTABILITY in names) != bool(weights):
+        raise ValueError(f"{INSTABILITY} needs the weights of the training matrix, and only if that has it")
     spark = sequences.sparkSession
     checked = sequences.withColumn("_v", protein.validated_sequence("sequence")).where("_v.is_valid").select("seq_id", F.col("_v.sequence").alias("sequence"))
     listed = spark.createDataFrame([(e, i) for i, e in enumerate(elements)], "target_element string, element_place int")
-    rows = feature_rows(checked.crossJoin(F.broadcast(listed)))  # a sequence by the listed elements is the wanted result
+    rows = feature_rows(checked.crossJoin(F.broadcast(listed)), weights)  # a sequence by the listed elements is the wanted result
     numerics = [c for c in rows.columns if c not in ("seq_id", "sequence", "target_element", "element_place") and c not in CATEGORICAL]
     return encode.align(encode.encode(rows, categories, numerics), names, ["seq_id", "target_element", "element_place"])

@@ -283,3 +283,17 @@ def test_corpus_lists_every_paper(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["corpus", str(tmp_path)]) == 0
     lines = capsys.readouterr().out.splitlines()
     assert [x for x in lines if x.startswith("p")] == [f"p{i:04d}\t4" for i in range(1001)]
+
+
+def test_instability_reaches_matrix_and_profile(spark):
+    weights = {"AC": 44.94, "DK": -7.49}
+    rows = matrix_rows(spark, 8).where("target_element = 'Neodymium'")
+    matrix, cats, names = features.build_matrix(rows, weights)
+    own = {r.variant_id: r.sequence for r in rows.collect()}
+    want = {v: 10 / len(s) * sum(weights.get(s[i : i + 2], 1.0) for i in range(len(s) - 1)) for v, s in own.items()}
+    assert {r.variant_id: r.instability_index for r in matrix.collect()} == pytest.approx(want) and len(set(want.values())) > 1
+    seqs = rows.select(F.col("variant_id").alias("seq_id"), "sequence")
+    grid = features.profile_rows(seqs, cats, names, ("Neodymium",), weights)
+    assert {r.seq_id: r.instability_index for r in grid.collect()} == pytest.approx(want)
+    with pytest.raises(ValueError, match="weights"):
+        features.profile_rows(seqs, cats, names, ("Neodymium",))
