@@ -14,12 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _variant_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residues.variant_residues(table(spark, sf_dir, "protein_variants")).select(F.col("variant_id").alias("id"), "residues")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    variants = settle(residues.variant_residues(table(spark, sf_dir, "protein_variants")))
-    spelled = variants.select("id", "variant_id")
-    pairs = neardup.near_duplicates(variants)
-    named = pairs.join(spelled.select(F.col("id").alias("id_a"), F.col("variant_id").alias("x")), "id_a").join(spelled.select(F.col("id").alias("id_b"), F.col("variant_id").alias("y")), "id_b")
-    return named.select(F.least("x", "y").alias("variant_id_a"), F.greatest("x", "y").alias("variant_id_b"))
+    return neardup.near_duplicates(_variant_residues(spark, sf_dir)).select(F.col("id_a").alias("variant_id_a"), F.col("id_b").alias("variant_id_b"))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_summary(_variant_residues(spark, sf_dir)).withColumnRenamed("id", "variant_id")
 
 
 _LINKS = ["source_paper", "submitter"]
@@ -48,6 +52,11 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(p6_found(spark, sf_dir), table(spark, sf_dir, "ml_ready_features"))
 
 
+def p6_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaked record with the fraction of its residues that a training record covers."""
+    return overlap.covered_records(table(spark, sf_dir, "ml_ready_features"), table(spark, sf_dir, "protein_variants"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -75,10 +84,12 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p6_covered": p6_covered,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_report": p8_report,

@@ -42,6 +42,10 @@ found AS (SELECT DISTINCT variant_id_a, variant_id_b, y.s AS eval_split FROM pai
 
 ORACLES = {
     "p4_found": f"WITH {_RESIDUES} SELECT variant_id_a, variant_id_b FROM near",
+    "p4_classes": f"""WITH {_RESIDUES},
+copies AS (SELECT s, min(variant_id) AS class_id, count(*) AS n_copies FROM residues WHERE s IS NOT NULL GROUP BY 1),
+links AS (SELECT v, count(*) AS n FROM (SELECT variant_id_a AS v FROM near UNION ALL SELECT variant_id_b FROM near) GROUP BY 1)
+SELECT r.variant_id, class_id, n_copies, coalesce(links.n, 0) AS n_links FROM residues r JOIN copies USING (s) LEFT JOIN links ON links.v = r.variant_id""",
     "p5_found": f"""WITH RECURSIVE {_NAMES},
 links AS (
   SELECT DISTINCT {id_key_sql("variant_id")} AS node, 's:' || {id_key_sql("source_paper")} AS link FROM ml_ready_features WHERE {id_key_sql("source_paper")} IS NOT NULL AND {id_key_sql("variant_id")} IS NOT NULL

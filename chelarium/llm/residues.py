@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from chelarium.functions.ids import id_key
 from chelarium.functions.mutations import canonical_mutations
+from chelarium.llm.components import join_summary
+from chelarium.session import settle
 
 MIN_RESIDUES = 50
 #: A parent may be that of a third of all variants; its row is sent to so many tasks.
 PARENT_COPIES = 16
+MEMBERS_PER_BUCKET = 1000
 
 
 def clean_residues(sequence: Column) -> Column:
@@ -67,14 +70,46 @@ def variant_residues(variants: DataFrame) -> DataFrame:
     return one.join(derived, "id", "left").select("id", "variant_id", F.coalesce("own", "derived").alias("residues"))
 
 
-def residue_classes(residues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): classes (rep, residues) of equal residues with the smallest id as rep, members (rep, id).
+def residue_classes(residues: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(classes, members), both settled: classes (cid, residues, n_members) of equal residues, members (cid, n_members, *kept).
 
-    Rows without residues are in neither.
+    Rows without residues are in neither. A class of any size is counted before it is shuffled, and its members are sent
+    through a broadcast of the few large classes, never to one task.
     """
-    known = residues.where("residues IS NOT NULL")
-    classes = known.groupBy("residues").agg(F.min("id").alias("rep")).select("rep", "residues")
-    members = known.select("id", F.xxhash64("residues").alias("h"), "residues").join(
-        classes.select(F.xxhash64("residues").alias("h"), F.col("residues").alias("r2"), "rep"), "h"
-    ).where("residues = r2").select("rep", "id")
-    return classes, members
+    known = settle(residues.where("residues IS NOT NULL").select(F.unhex(F.sha2("residues", 256)).alias("h"), "residues", *kept))
+    classes = settle(known.groupBy("h").agg(F.min("residues").alias("residues"), F.count("*").alias("n_members")).withColumn("cid", F.monotonically_increasing_id()))
+    members = join_summary(known.select("h", *kept), classes.select("h", "cid", "n_members"), "h", known.count(), "n_members")
+    return classes.drop("h"), settle(members.select("cid", "n_members", *kept))
+
+
+def bucket_count(n: Column) -> Column:
+    """Buckets that a class of n members is dealt into where it meets others."""
+    return F.ceil(n / MEMBERS_PER_BUCKET).cast("int")
+
+
+def bucketed(members: DataFrame, by: str) -> DataFrame:
+    """members with `bucket`, by the hash of their column `by`; no bucket of a class is expected to hold more than MEMBERS_PER_BUCKET."""
+    return members.withColumn("bucket", F.pmod(F.xxhash64(by), bucket_count(F.col("n_members"))).cast("int"))
+
+
+def to_members(pairs: DataFrame, members: DataFrame, by: str) -> DataFrame:
+    """(x, y, and what pairs hold beside): every member of class a with every one of class b; pairs: a, b, n_a, n_b.
+
+    x and y are structs of the members' columns beside cid and n_members. Large classes meet in buckets.
+    """
+    kept = [c for c in members.columns if c not in ("cid", "n_members")]
+    side = bucketed(members, by).select("cid", "bucket", F.struct(*kept).alias("m"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), bucket_count(F.col(n)) - 1))
+    a = pairs.withColumn("_i", every("n_a")).join(side.select(F.col("cid").alias("a"), F.col("bucket").alias("_i"), F.col("m").alias("x")), ["a", "_i"]).drop("_i")
+    b = a.withColumn("_j", every("n_b")).join(side.select(F.col("cid").alias("b"), F.col("bucket").alias("_j"), F.col("m").alias("y")), ["b", "_j"])
+    return b.drop("_j", "a", "b", "n_a", "n_b")
+
+
+def within_classes(members: DataFrame, by: str) -> DataFrame:
+    """(x, y): every two members of each class, x before y by column `by`."""
+    kept = [c for c in members.columns if c not in ("cid", "n_members")]
+    dealt = bucketed(members.where("n_members > 1"), by)
+    every = F.explode(F.sequence(F.lit(0), bucket_count(F.col("n_members")) - 1))
+    m = dealt.select("cid", F.col("bucket").alias("i"), every.alias("j"), F.struct(*kept).alias("x"))
+    o = dealt.select("cid", every.alias("i"), F.col("bucket").alias("j"), F.struct(*kept).alias("y"))
+    return m.join(o, ["cid", "i", "j"]).where(F.col(f"x.{by}") < F.col(f"y.{by}")).select("x", "y")

@@ -25,17 +25,23 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (joined - 64).astype(np.int64), np.repeat(np.arange(len(texts)), lengths)
 
 
-def runs(texts: list[str], k: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, code): the distinct runs of k letters of each text, sorted by owner and code."""
+def all_runs(texts: list[str], k: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, place, code) of every run of k letters; places count over all letters of all texts."""
     codes, owner = letters(texts)
     n = len(codes) - k + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     run = np.zeros(n, np.int64)
     for i in range(k):
         run = (run << _BITS) | codes[i : i + n]
-    whole = owner[:n] == owner[k - 1 :]
-    both = (owner[:n][whole] << (_BITS * k)) | run[whole]
+    whole = np.flatnonzero(owner[:n] == owner[k - 1 :])
+    return owner[whole], whole, run[whole]
+
+
+def runs(texts: list[str], k: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, code): the distinct runs of k letters of each text, sorted by owner and code."""
+    owner, _, code = all_runs(texts, k)
+    both = (owner << (_BITS * k)) | code
     both.sort()
     both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
     return both >> (_BITS * k), both & ((1 << (_BITS * k)) - 1)

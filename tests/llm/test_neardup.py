@@ -62,25 +62,68 @@ def test_all_pairs_against_brute_force(spark, seed):
     assert set(got) == want and len(want) > 300
 
 
-def test_recall_at_the_threshold():
-    # pairs just at the threshold agree in several parts
+def at_threshold(rng, length, kind):
+    """Two texts that are just near-duplicates: scattered substitutions, a fragment, or both."""
+    a = "".join(rng.choices(AA, k=length))
+    b = list({"edits": a, "fragment": a[: length // 2 + 3], "both": a[: int(length * 0.75)]}[kind])
+    while kind != "fragment":
+        c = b[:]
+        c[rng.randrange(len(b))] = rng.choice(AA)
+        if not alike(a, "".join(c)):
+            break
+        b = c
+    return a, "".join(b)
+
+
+def test_no_pair_is_lost_at_the_threshold(spark):
     rng = random.Random(5)
-    agree = []
-    for length in (60, 90, 130, 170, 240, 400, 900):
-        for _ in range(40):
-            a = list("".join(rng.choices(AA, k=length)))
-            b = a[:]
-            while True:
-                c = b[:]
-                c[rng.randrange(length)] = rng.choice(AA)
-                if not alike("".join(a), "".join(c)):
-                    break
-                b = c
-            texts = ["".join(a), "".join(b)]
-            owner, code = shingles.runs(texts)
-            x, y = neardup.part_keys(owner, code, 2)
-            agree.append(len(np.intersect1d(x, y)))
-    assert min(agree) >= 1 and np.mean(agree) > 7
+    rows = [(f"{k}-{length}-{n}-{side}", s) for k in ("edits", "fragment", "both") for length in (11, 24, 60, 90, 130, 170, 257, 400, 900) for n in range(12) for side, s in zip("ab", at_threshold(rng, length, k))]
+    want = {(i, j) for (i, a), (j, b) in zip(rows[::2], rows[1::2]) if alike(a, b)}
+    got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "id string, residues string")).collect()}
+    assert want <= got and len(want) > 300
+
+
+@pytest.mark.parametrize("part", [0.4, 0.5])
+def test_a_common_domain_forms_no_candidates(spark, part):
+    rng = random.Random(6)
+    domain = "".join(rng.choices(AA, k=int(300 * part)))
+    seqs = ["".join(rng.choices(AA, k=150)) + domain + "".join(rng.choices(AA, k=150 - len(domain))) for _ in range(2000)]
+    twins = [s[:40] + "WW" + s[42:] for s in seqs[:50]]
+    df = spark.createDataFrame([(k, s, 1) for k, s in enumerate(seqs + twins)], "cid bigint, residues string, n_members bigint")
+    assert neardup.candidate_pairs(neardup.sketch_classes(df)).count() < 200
+    assert neardup.near_duplicate_classes(df).count() == 50
+
+
+def test_a_common_tag_forms_no_pairs_of_chunks(spark):
+    rng = random.Random(7)
+    tag = "HHHHHHSSGLVPRGSHM"
+    seqs = ["M" + tag + "".join(rng.choices(AA, k=200)) for _ in range(2000)]
+    twins = [s[:90] + "WW" + s[92:] for s in seqs[:50]]
+    df = spark.createDataFrame([(k, s, 1, k % 2 + 1) for k, s in enumerate(seqs)] + [(5000 + k, s, 1, 2 - k % 2) for k, s in enumerate(twins)], "cid bigint, residues string, n_members bigint, mask int")
+    assert overlap.chunk_pairs(overlap.chunk_table(df)).count() < 200
+    found = overlap.overlapping_classes(df).collect()
+    assert len(found) == 50 and all(0.6 < r.of_a < 1 and 0.6 < r.of_b < 1 for r in found)
+
+
+def test_chunks_are_shared_at_the_threshold():
+    rng = random.Random(8)
+    texts = [s for k in ("edits", "fragment", "both") for length in (60, 90, 130, 170, 257, 400) for _ in range(50) for s in at_threshold(rng, length, k)]
+    owner, digest = overlap.chunk_keys(texts, np.ones(neardup.SLOTS, np.uint8))
+    keys = np.split(digest, np.searchsorted(owner, np.arange(1, len(texts))))
+    common = [len(np.intersect1d(x, y)) for x, y in zip(keys[::2], keys[1::2])]
+    assert min(common) >= 1 and np.mean(common) > 10
+
+
+def test_large_classes_meet_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(residues, "MEMBERS_PER_BUCKET", 4)
+    rng = random.Random(9)
+    a = "".join(rng.choices(AA, k=120))
+    rows = [(f"a{k:03}", a) for k in range(30)] + [(f"b{k:03}", a[:60] + "W" + a[61:]) for k in range(21)] + [("c", "".join(rng.choices(AA, k=120))), ("d", None)]
+    df = spark.createDataFrame(rows, "id string, residues string")
+    got = [tuple(r) for r in neardup.near_duplicates(df).collect()]
+    assert len(got) == len(set(got)) == 51 * 50 // 2
+    found = {r.id: tuple(r)[1:] for r in neardup.near_duplicate_summary(df).collect()}
+    assert found["a007"] == ("a000", 30, 50) and found["b001"] == ("b000", 21, 50) and found["c"] == ("c", 1, 0) and "d" not in found
 
 
 def test_parity_distance_is_a_lower_bound():
@@ -97,8 +140,7 @@ def test_empty_and_short(spark):
     schema = "id string, residues string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     assert neardup.near_duplicates(spark.createDataFrame([("a", "ACD"), ("b", "ACE"), ("c", None)], schema)).count() == 0
-    with pytest.raises(ValueError):
-        neardup.near_duplicate_classes(spark.createDataFrame([], "rep string, residues string"), share=0.3)
+    assert neardup.near_duplicate_summary(spark.createDataFrame([], schema)).count() == 0
 
 
 T = datetime(2024, 1, 1)
@@ -145,16 +187,26 @@ def test_cross_split(spark):
     assert report["test", "p2"] == 1 and set(report) == {("test", "p1"), ("validation", "p1"), ("test", "p2")}
 
 
+def test_covered_records(spark):
+    rng = random.Random(3)
+    a = "".join(rng.choices(AA, k=200))
+    b = a[:100] + "".join(rng.choices(AA, k=3)) + a[103:]
+    variants = spark.createDataFrame([(1, "o-1", a, None, [], T), (2, "o-2", b, None, [], T), (3, "o-3", a, None, [], T)], VARIANTS)
+    ml = spark.createDataFrame([("o-1", "train"), ("o-2", "test"), ("o-3", "validation"), ("o-3", "train")], "variant_id string, split string")
+    got = {(r.variant_id, r.eval_split): (r.n_train, r.covered) for r in overlap.covered_records(ml, variants).collect()}
+    assert set(got) == {("o-2", "test"), ("o-3", "validation")}
+    assert got["o-3", "validation"] == (2, 1.0) and got["o-2", "test"][0] == 2 and 0.7 < got["o-2", "test"][1] < 1
+
+
 def test_chunks_cover_and_resynchronise():
     rng = random.Random(2)
     a = "".join(rng.choices(AA, k=400))
     b = "W" * 13 + a
-    o, d, n = overlap.chunks([a, b, "", "AC"])
+    o, d, start, n = overlap.chunks([a, b, "", "AC"])
+    assert [n[o == k].sum() for k in range(4)] == [400, 413, 0, 2] and (start[1:] == (start + n)[:-1]).all()
     da, db = d[o == 0], d[o == 1]
     assert len(np.intersect1d(da, db)) >= len(np.unique(da)) - 2
-    assert (n >= overlap.MIN_CHUNK).all()
-    alone = overlap.chunks([b])[1]
-    assert (alone == db).all()
+    assert (overlap.chunks([b])[1] == db).all()
     assert len(overlap.chunks([])[0]) == 0
 
 
