@@ -13,18 +13,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.shred(table(spark, sf_dir, "paper_extractions"), "extraction_id", "payload")
 
 
+_FLAT = "kind IN ({})".format(", ".join(f"'{k}'" for k in nested.KINDS.values()))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.link_nodes(p1_nodes(spark, sf_dir)).select("extraction_id", "kind", "parent_pos", "pos", "item")
+    return nested.link_nodes(_p1_nodes(spark, sf_dir), _FLAT).select("extraction_id", "kind", "parent_pos", "pos", "item")
+
+
+def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object of every document with its interval and the object around it."""
+    return nested.link_nodes(_p1_nodes(spark, sf_dir)).select("extraction_id", "kind", "pre", "post", "level", "pos", "parent_kind", "parent_pre")
+
+
+def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat variant table."""
+    rows = nested.link_nodes(_p1_nodes(spark, sf_dir), _FLAT).where("kind = 'variant'")
+    return rows.select("extraction_id", "pre", "post", "pos", "variant_id")
+
+
+def p1_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat mutation table, each row with its place and parent variant."""
+    rows = nested.link_nodes(_p1_nodes(spark, sf_dir), _FLAT).where("kind = 'mutation'")
+    return rows.select("extraction_id", "pre", "pos", "parent_pre", "parent_pos", F.col("item").alias("mutation"))
 
 
 def p1_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat measurement table, each row with its document, place and parent variant."""
-    rows = nested.link_nodes(p1_nodes(spark, sf_dir)).where("kind = 'measurement'")
-    return rows.select("extraction_id", "pos", "parent_pos", F.col("item").alias("target_element"), "variant_id", "value", "units")
+    rows = nested.link_nodes(_p1_nodes(spark, sf_dir), _FLAT).where("kind = 'measurement'")
+    return rows.select("extraction_id", "pre", "pos", "parent_pos", F.col("item").alias("target_element"), "variant_id", "value", "units")
+
+
+def p1_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads without a complete document, with the reason."""
+    return nested.unreadable(table(spark, sf_dir, "paper_extractions"), "extraction_id", "payload")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +80,11 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_nodes": p1_nodes,
+    "p1_variants": p1_variants,
+    "p1_mutations": p1_mutations,
     "p1_measurements": p1_measurements,
+    "p1_rejects": p1_rejects,
     "p2_found": p2_found,
     "p2_conversions": p2_conversions,
     "p3_found": p3_found,
