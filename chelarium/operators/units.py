@@ -2,15 +2,17 @@
 
 Every unit notation is a source. Two sources are linked where they give the same entity: the stored
 molar column (the anchor, one more source) gives each row a second time, and rows of one variant,
-element, type and paper in two notations link these. For each link the difference of the decimal
-logarithms is snapped to a known conversion (a power of a thousand, or the quantity's own logarithm or
-negative logarithm); the conversion with most links holds for the pair, however many values are wrong.
-Conversions spread from the anchor over the graph of sources; what no sound link reaches takes the
+element, type and paper in two notations link these. Each source can be linear, logarithmic or negative
+logarithmic; on the scale so chosen, two sources differ by an offset, which is estimated for each pair of sources and scales as the
+median over their links and snapped to a known conversion (a power of ten). The scales on which most links lie
+within SNAP of that offset hold for the pair, however far off the other links are. Conversions then spread from the anchor over the
+graph of sources, over as many links as it takes and the surest first; what the graph does not reach takes the
 reading of its printed form.
 
-Scale: links are counted with map-side combine into one row per notation and conversion; the entity
-self-join runs on one median per entity and notation, of which an entity has no more than there are
-notations. The notations recognised by the grammar are few at any size of data.
+Scale: the notations are read once into a slim table. Links are counted with map-side combine into one row per pair of
+sources; the entity self-join runs on one median per entity and notation, of which an entity has no more than
+there are notations. The grammar recognises some hundred notations at any size of data, so the graph is small and is
+walked on the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chelarium.functions.ids import id_key, spelling_key
+from chelarium.session import settle
 
 # Value types that are concentrations, in lower case.
 CONCENTRATIONS = ("kd", "kd_app", "kd1", "ec50", "kdimer")
@@ -28,7 +31,13 @@ CONCENTRATIONS = ("kd", "kd_app", "kd1", "ec50", "kdimer")
 PREFIXES = {"femto": -15, "pico": -12, "nano": -9, "micro": -6, "milli": -3, "f": -15, "p": -12, "n": -9, "u": -6, "m": -3}
 VOLUMES = {"dm": 0, "cm": -3, "ml": -3, "ul": -6, "nl": -9, "m3": 3, "m-3": 3}
 
-MIN_LINKS, MIN_SHARE, SNAP = 5, 0.6, 0.005
+MIN_LINKS, MIN_SHARE, SNAP = 5, 0.5, 0.005
+ANCHOR = "stored molar"
+# Known conversions, as decimal exponents, and scales of a source, the plainest first.
+KNOWN_EXPONENTS = range(-18, 4)
+SCALES = ("linear", "neglog", "log")
+#: Two known conversions are no further apart.
+WIDEST = max(KNOWN_EXPONENTS) - min(KNOWN_EXPONENTS)
 
 _FROM, _TO = "⁻−–‑⁰¹²³⁴⁵⁶⁷⁸⁹µμ·⋅×", "----0123456789uu  x"
 _FREE = r"(?<![0-9.]\s{0,2})(?<![a-z0-9])"
@@ -98,75 +107,91 @@ def read_notations(df: DataFrame) -> DataFrame:
     )
 
 
-def conversions(rows: DataFrame) -> DataFrame:
-    """(notation, kind, exponent, n_links, basis): how each notation of read_notations converts to molar.
+def _on_scales(value: Column, logarithm: Column) -> Column:
+    """array of struct(scale, x): the decimal logarithm of the quantity, up to an offset, if the source has that scale."""
+    by = {"linear": logarithm, "neglog": -value, "log": value}
+    return F.array(*(F.struct(F.lit(k).alias("scale"), by[k].alias("x")) for k in SCALES))
 
-    basis: `anchor` (links with the stored molar column), `graph` (over another notation) or `printed`.
-    An empty table gives no row; ties between conversions go to the linear one, then to the larger exponent.
-    """
-    lg = F.log10(F.when(F.col("value") > 0, F.col("value")))
-    ref = F.log10(F.when(F.col("stored") > 0, F.col("stored")))
-    snap = lambda d: F.round(d / 3).cast("int") * 3
-    linear = F.abs(ref - lg - snap(ref - lg)) < SNAP
-    # a value may agree with two conversions at once; each then gets its link
-    votes = rows.select(
-        "notation",
-        F.explode(F.array_compact(F.array(
-            F.when(linear, F.struct(F.lit("linear").alias("kind"), snap(ref - lg).alias("exponent"))),
-            F.when(F.abs(ref + F.col("value")) < SNAP, F.struct(F.lit("neglog").alias("kind"), F.lit(0).alias("exponent"))),
-            F.when(F.abs(ref - F.col("value")) < SNAP, F.struct(F.lit("log").alias("kind"), F.lit(0).alias("exponent"))),
-        ))).alias("c"),
-    ).groupBy("notation", "c.kind", "c.exponent").agg(F.count("*").alias("n"))
-    known = rows.select("notation").distinct()
-    order = F.struct(F.col("n"), (F.col("kind") == "linear").cast("int"), F.col("exponent"), F.col("kind"))
-    best = votes.groupBy("notation").agg(F.max_by(F.struct("kind", "exponent", "n"), order).alias("b"), F.sum("n").alias("n_votes"))
-    anchored = (
-        known.join(best, "notation", "left")
-        .withColumn("anchor", F.when((F.col("b.n") >= MIN_LINKS) & (F.col("b.n") >= MIN_SHARE * F.col("n_votes")), F.col("b")))
-        .select("notation", "anchor")
-    )
 
-    medians = rows.where("value > 0").groupBy("entity", "notation").agg(F.percentile_approx(lg, 0.5).alias("m"))
-    a, b = medians.alias("a"), medians.alias("b")
-    d = F.col("b.m") - F.col("a.m")
-    pairs = (
-        a.join(b, F.col("a.entity").eqNullSafe(F.col("b.entity")) & (F.col("a.notation") != F.col("b.notation")))
-        .select(F.col("a.notation").alias("notation"), F.col("b.notation").alias("other"), snap(d).alias("shift"), (F.abs(d - snap(d)) < SNAP).alias("sound"))
-        .where("sound")
-        .groupBy("notation", "other", "shift")
-        .agg(F.count("*").alias("n"))
-    )
-    edges = (
-        pairs.groupBy("notation", "other")
-        .agg(F.max_by(F.struct("shift", "n"), F.struct("n", "shift")).alias("e"), F.sum("n").alias("n_votes"))
-        .where((F.col("e.n") >= MIN_LINKS) & (F.col("e.n") >= MIN_SHARE * F.col("n_votes")))
-        .select("notation", "other", "e.shift", "e.n")
+def source_links(rows: DataFrame) -> DataFrame:
+    """(source, other, scale, other_scale, d): one row per link and scales; x of other is x of source plus d.
+
+    Links lead to the anchor, from each row, and between notations of one entity, both ways, from their medians.
+    """
+    lg = lambda c: F.log10(F.when(F.col(c) > 0, F.col(c)))
+    on = F.explode(_on_scales(F.col("value"), lg("value"))).alias("s")
+    anchored = rows.select(F.col("notation").alias("source"), on, lg("stored").alias("y")).select(
+        "source", F.lit(ANCHOR).alias("other"), F.col("s.scale").alias("scale"), F.lit("linear").alias("other_scale"), (F.col("y") - F.col("s.x")).alias("d")
     )
-    reached = (
-        edges.join(anchored.select(F.col("notation").alias("other"), "anchor"), "other")
-        .where("anchor.kind = 'linear'")
-        .groupBy("notation")
-        .agg(F.max_by(F.struct(F.lit("linear").alias("kind"), (F.col("anchor.exponent") + F.col("shift")).alias("exponent"), F.col("n")), F.col("n")).alias("over"))
+    one = rows.groupBy("entity", "notation").agg(F.percentile_approx("value", 0.5).alias("value"))
+    a, b = one.alias("a"), one.alias("b")
+    met = a.join(b, F.col("a.entity").eqNullSafe(F.col("b.entity")) & (F.col("a.notation") != F.col("b.notation"))).select(
+        F.col("a.notation").alias("source"), F.col("b.notation").alias("other"), F.col("a.value").alias("value"), F.col("b.value").alias("theirs")
     )
+    both = met.select("source", "other", on, "theirs").select("source", "other", "s", F.explode(_on_scales(F.col("theirs"), lg("theirs"))).alias("o"))
+    between = both.select("source", "other", F.col("s.scale").alias("scale"), F.col("o.scale").alias("other_scale"), (F.col("o.x") - F.col("s.x")).alias("d"))
+    return anchored.unionByName(between).where("d IS NOT NULL AND NOT isnan(d)")
+
+
+def estimated_edges(links: DataFrame) -> DataFrame:
+    """(source, other, scale, other_scale, exponent, n_links, share): the offset of each pair of sources and scales, snapped, the links within
+    SNAP of it and their share of all; pairs without a known conversion near their median, or with too few or too scattered links, have no row.
+    """
+    pair = ["source", "other", "scale", "other_scale"]
+    middle = links.groupBy(*pair).agg(F.percentile_approx("d", 0.5, 10_000).alias("m")).withColumn("exponent", F.rint("m").try_cast("int"))
+    # one row per pair of sources and scales, of the notations of the grammar
+    near = F.abs(F.col("d") - F.col("exponent")) < SNAP
+    scored = links.join(F.broadcast(middle), pair).groupBy(*pair, "exponent").agg(F.count(F.when(near, 1)).alias("n_links"), F.avg(near.cast("double")).alias("share"))
+    return scored.where(F.col("exponent").between(-WIDEST, WIDEST) & (F.col("n_links") >= MIN_LINKS) & (F.col("share") >= MIN_SHARE))
+
+
+def propagate(edges: list) -> dict[str, tuple[str, int, int, int]]:
+    """source to (scale, exponent, n_links, hops) for all that edges connect with the anchor, hop by hop, over the edge with most links."""
+    known = {ANCHOR: ("linear", 0, 0, 0)}
+    while True:
+        best: dict = {}
+        for e in edges:
+            if e.source in known or e.other not in known or known[e.other][0] != e.other_scale:
+                continue
+            if known[e.other][1] + e.exponent not in KNOWN_EXPONENTS:
+                continue
+            order = (e.n_links, -SCALES.index(e.scale), e.exponent, e.other)
+            if e.source not in best or order > best[e.source][0]:
+                _, exponent, _, hops = known[e.other]
+                best[e.source] = order, (e.scale, exponent + e.exponent, e.n_links, hops + 1)
+        if not best:
+            del known[ANCHOR]
+            return known
+        known |= {s: found for s, (_, found) in best.items()}
+
+
+def conversions(rows: DataFrame) -> DataFrame:
+    """(notation, kind, exponent, n_links, hops, basis): how each notation of read_notations converts to molar.
+
+    basis: `anchor` (linked with the stored molar column), `graph` (over other notations, hops in all) or `printed` (no hops, no links).
+    An empty table gives no row; ties go to the linear scale, then to the larger exponent.
+    """
+    # the grammar bounds the number of notations and so of edges
+    known = propagate(estimated_edges(source_links(rows)).collect())
+    found = rows.sparkSession.createDataFrame([(s, k, e, n, h) for s, (k, e, n, h) in known.items()], "notation string, kind string, exponent int, n_links bigint, hops int")
     printed = printed_conversion(F.col("notation"))
     return (
-        anchored.join(reached, "notation", "left")
-        .withColumn("p", printed)
-        .withColumn("c", F.coalesce("anchor", "over", F.struct("p.kind", "p.exponent", F.lit(0).cast("long").alias("n"))))
-        .select(
-            "notation", "c.kind", "c.exponent", F.col("c.n").alias("n_links"),
-            F.when(F.col("anchor").isNotNull(), "anchor").when(F.col("over").isNotNull(), "graph").otherwise("printed").alias("basis"),
+        rows.select("notation").distinct().join(F.broadcast(found), "notation", "left").withColumn("p", printed).select(
+            "notation", F.coalesce("kind", "p.kind").alias("kind"), F.coalesce("exponent", "p.exponent").alias("exponent"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("hops", F.lit(0)).alias("hops"),
+            F.when(F.col("hops").isNull(), "printed").when(F.col("hops") == 1, "anchor").otherwise("graph").alias("basis"),
         )
     )
 
 
 def to_common_unit(df: DataFrame) -> DataFrame:
     """read_notations plus `molar` and `fm` (femtomolar, unrounded) of every row with a told unit."""
-    rows = read_notations(df)
+    rows = settle(read_notations(df))
     ten = F.lit(10.0)
     v = F.col("value")
-    scaled = lambda shift: F.when(F.col("kind") == "neglog", F.pow(ten, shift - v)).when(F.col("kind") == "log", F.pow(ten, shift + v)).otherwise(v * F.pow(ten, F.col("exponent") + shift))
-    return rows.join(conversions(rows), "notation").select(
+    scaled = lambda shift: F.when(F.col("kind") == "neglog", F.pow(ten, F.col("exponent") + shift - v)).when(F.col("kind") == "log", F.pow(ten, F.col("exponent") + shift + v)).otherwise(v * F.pow(ten, F.col("exponent") + shift))
+    # one row per notation of the grammar
+    return rows.join(F.broadcast(conversions(rows)), "notation").select(
         "measurement_id", "notation", "value", "stored", scaled(F.lit(0)).alias("molar"), scaled(F.lit(15)).alias("fm")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chelarium.functions.ids import id_key_sql
 from chelarium.operators import nested, orphans, units
+from chelarium.session import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversion found for every unit notation, with the number of links that speak for it."""
-    return units.conversions(units.read_notations(table(spark, sf_dir, "literature_binding_data")))
+    return units.conversions(settle(units.read_notations(table(spark, sf_dir, "literature_binding_data"))))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
