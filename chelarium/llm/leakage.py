@@ -1,9 +1,11 @@
 """Evaluation passages in a corpus by q-gram lemma filtering.
 
-Texts are normalised to words joined by single blanks. A corpus region that holds a passage of n characters
-with at most k edits shares at least n + 1 - q - k q of its q-grams, all within k diagonals of each other (the
+Texts are normalised to words between single blanks. A corpus region that holds a passage of n characters
+with at most k edits (letters put in, left out or changed) shares at least n + 1 - q - k q of its q-grams, all within k diagonals of each other (the
 diagonal is the place in the document less that in the item). Shared q-grams are counted in overlapping bands
-of diagonals; bands below the bound are refuted, the others are aligned within the band word by word.
+of diagonals; bands below the bound are refuted, the others are aligned within the band: for each word of the item,
+how far the passage that starts there gets on each diagonal with 0, 1 .. k edits. q is lowered where
+passages are so short that the bound would else be void, so no passage is lost to the filter.
 
 Scale: a map over Arrow batches of the corpus against the items' q-grams, which are sent to all executors. The
 items are taken in blocks of ITEM_BLOCK, so what is sent is bounded whatever their number; each block is held
@@ -69,6 +71,35 @@ def _grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return o, whole - start[o], h[whole]
 
 
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def aligned_words(text: np.ndarray, item: np.ndarray, low: int, high: int, edits: int) -> int:
+    """Most consecutive words of the item that the text holds with at most `edits` edits at diagonals from low to below high.
+
+    text and item are letters, with a blank before and after every word; those around a passage count as its letters.
+    """
+    m, blank = len(item), 32
+    starts = np.flatnonzero(item == blank)
+    # for every diagonal and place in the item: the place up to which both are equal
+    equal_to = np.empty((high - low, m + 1), np.int64)
+    for d in range(low, high):
+        a, b = min(max(0, -d), m), max(0, min(m, len(text) - d))
+        differs = np.ones(m + 1, bool)
+        if a < b:
+            differs[a:b] = text[a + d : b + d] != item[a:b]
+        equal_to[d - low] = np.minimum.accumulate(np.where(differs, np.arange(m + 1), m)[::-1])[::-1]
+    reach = equal_to[:, starts[:-1]]
+    for _ in range(edits):
+        more = np.minimum(reach + 1, m)
+        more[:-1] = np.maximum(more[:-1], np.minimum(reach[1:] + 1, m))
+        more[1:] = np.maximum(more[1:], reach[:-1])
+        reach = np.take_along_axis(equal_to, more, axis=1)
+    # a passage ends with the blank after its last word
+    return int((np.searchsorted(starts, reach.max(axis=0) - 1, side="right") - 1 - np.arange(len(starts) - 1)).max(initial=0))
+
+
 class PassageIndex:
     """q-grams of a block of items, with the least number of them that a passage of each item has."""
 
@@ -78,10 +109,13 @@ class PassageIndex:
         self.ids = [ids[i] for i in kept]
         self.words, self.edits, self.q = words, edits, q
         self.item_words = [listed[i] for i in kept]
-        joined = [" ".join(w) for w in self.item_words]
-        least = [min(sum(map(len, w[i : i + words])) + words - 1 for i in range(len(w) - words + 1)) for w in self.item_words]
-        self.bound = np.array([max(1, n + 1 - q - edits * q) for n in least], np.int64)
-        owner, place, h = _grams(joined, q)
+        self.item_text = [f" {' '.join(w)} " for w in self.item_words]
+        least = np.array([min(sum(map(len, w[i : i + words])) + words + 1 for i in range(len(w) - words + 1)) for w in self.item_words], np.int64)
+        # q-grams of the shortest passage that are left with so many edits, at least one
+        q = self.q = max(1, min([q, *(least // (edits + 1))]))
+        self.bound = np.maximum(1, least + 1 - q - edits * q)
+        self.letters = [_letters(t) for t in self.item_text]
+        owner, place, h = _grams(self.item_text, q)
         by = np.argsort(h, kind="stable")
         self.hash, self.owner, self.place = mix(h[by]), owner[by], place[by]
         by = np.argsort(self.hash, kind="stable")
@@ -91,9 +125,8 @@ class PassageIndex:
         np.bitwise_or.at(self.seen, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
-        """(text, item, words): the texts that hold so many consecutive words of an item, `words` at least."""
-        listed = [normal_words(t) for t in texts]
-        joined = [" ".join(w) for w in listed]
+        """(text, item, words): the texts that hold so many consecutive words of an item with at most `edits` edits, `words` at least."""
+        joined = [f" {' '.join(normal_words(t))} " for t in texts]
         doc, place, h = _grams(joined, self.q)
         if not len(doc) or not len(self.hash):
             return []
@@ -117,10 +150,12 @@ class PassageIndex:
             _, first, count = np.unique(pair_no * (int(band.max() - least) + 1) + (band - least), return_index=True, return_counts=True)
             enough = first[count >= self.bound[pair[first] % n_items]]
             kept = np.stack([pair[enough] // n_items, pair[enough] % n_items, band[enough]], axis=1)
-        found = {}
+        found, letters = {}, {}
         for t, i, b in kept.tolist():
             low = b // 2 * width if b % 2 == 0 else (b + 1) // 2 * width - width // 2
-            found[t, i] = max(found.get((t, i), 0), self._align(listed[t], self.item_words[i], low, low + width))
+            if t not in letters:
+                letters[t] = _letters(joined[t])
+            found[t, i] = max(found.get((t, i), 0), aligned_words(letters[t], self.letters[i], low, low + width, self.edits))
         return [(t, i, n) for (t, i), n in found.items() if n >= self.words]
 
     def find_all(self, texts: list[str | None], letters: int = SLICE_LETTERS) -> list[tuple[int, int, int]]:
@@ -133,30 +168,12 @@ class PassageIndex:
                 start, held = i + 1, 0
         return out
 
-    @staticmethod
-    def _align(text: list[str], item: list[str], low: int, high: int) -> int:
-        """Most consecutive words that text and item have in common at diagonals (in characters) from low to below high."""
-        at, places = 0, {}
-        for k, w in enumerate(item):
-            places.setdefault(w, []).append((k, at))
-            at += len(w) + 1
-        best, at, before = 0, 0, {}
-        for w in text:
-            now = {}
-            for k, p in places.get(w, ()):
-                if low <= at - p < high:
-                    now[k] = before.get(k - 1, 0) + 1
-                    best = max(best, now[k])
-            before = now
-            at += len(w) + 1
-        return best
-
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", words: int = PASSAGE_WORDS, edits: int = 0) -> DataFrame:
     """(item_col, doc_col, n_words): documents that hold at least `words` consecutive words of an item's text.
 
-    One row per item and document row. Null, empty and short texts hold nothing; a null id stays null. edits widens the bands
-    in which q-grams are counted, the words themselves must be equal. Extra columns are not looked at.
+    One row per item and document row; the words may have `edits` letters put in, left out or changed in all. Null, empty and short texts hold
+    nothing; a null id stays null. Extra columns are not looked at.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_col).alias("k"), F.col(text_col).alias("t"))

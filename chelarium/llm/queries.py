@@ -65,6 +65,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items found in documents where up to two letters of the passage may have been put in, left out or changed."""
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edits=2)
+
+
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per suite: items, leaked items, and the documents that hold them."""
     items = table(spark, sf_dir, "eval_items").select("item_id", "suite")
@@ -92,6 +97,7 @@ QUERIES = {
     "p6_covered": p6_covered,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
+    "p8_near": p8_near,
     "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_profile": p9_profile,

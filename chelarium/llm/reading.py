@@ -1,19 +1,22 @@
 """Reading level by a familiar-word formula.
 
 Words are familiar by their document frequency in the corpus itself. A document's score combines the share
-of its words outside the familiar list, at several lengths of the list, with its average sentence length and
-average word length; the weights of the formula are fitted on graded documents. Levels count from 1.
+of its words outside the familiar list, at several lengths of the list, with its average sentence length; the weights of
+the formula are fitted on graded documents. Levels count from 1.
 
-Scale: document frequencies are counted within each task before they are shuffled, over all documents. The
-familiar list holds words that at least the lowest of CUTS of all documents contain, of which there are no more
-than the average number of distinct words of a document over that cut, and LIST_WORDS at most; it is sent to all
-executors. At most MAX_GRADED graded documents are used to fit the weights. Scoring is a map over whole texts.
+A text is English if no other listed language has more function words in it and if at least KNOWN_SHARE of its words are known, that
+is, occur in a thousandth of the documents whose function words are English beyond doubt. So texts in languages that are not listed
+are no English either, while telegraphic notes without function words are.
+
+Scale: every text is read and tokenised once, into counted hashes of its words, which are written to the shared folder;
+all that follows is numbers. Document frequencies are counted with map-side combine over all documents. The words that at
+least a share c of the documents contain are no more than the average number of distinct words of a document over c; they
+are sent to all executors at 9 bytes each. At most MAX_GRADED graded documents are used to fit the weights.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chelarium.session import settle
+
 MIN_WORDS = 40
-CUTS = (0.5, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.01)
-LIST_WORDS = 100_000
+#: Shares of documents that a word of each familiar list is in, at least; every list reaches a sixth further down.
+CUTS = tuple(0.6 * 0.85**i for i in range(30))
+KNOWN_CUT, KNOWN_SHARE, CLEAR_SHARE = 0.001, 0.5, 0.1
 MAX_GRADED = 20_000
-_FLUSH = 200_000
 
 # Frequent function words, by which a text's language is told.
 FUNCTION_WORDS = {
@@ -35,55 +40,101 @@ FUNCTION_WORDS = {
     "es": "el la los las de y es una un en que por con para del se no al como su son lo más este",
 }
 
+# Function words that no neighbouring language has, English beyond doubt where they are a tenth of a text.
+CLEARLY_ENGLISH = "the and that with from this were are which have been not it their they she his you but when"
+
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?;])\W*\s+|\n\s*\n|\r\n\s*\r\n")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-­‐][ \t]*\r?\n\s*(?=[^\W\d_])")
-_LANGUAGE_OF = {w: [l for l, ws in FUNCTION_WORDS.items() if w in ws.split()] for ws in FUNCTION_WORDS.values() for w in ws.split()}
+_BROKEN = re.compile(r"(?<=[^\W\d_])[-\u00ad\u2010][ \t]*\r?\n\s*(?=[^\W\d_])")
+
+
+def word_hash(words: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each word, the same in every process."""
+    return pd.util.hash_array(np.asarray(words, dtype=object), categorize=False).view(np.int64) if len(words) else np.empty(0, np.int64)
+
+
+def _marked(words: str) -> np.ndarray:
+    return np.sort(word_hash(np.array(words.split(), dtype=object)))
 
 
-def english_words(text: str | None) -> list[str] | None:
-    """The words of an English text of at least MIN_WORDS pieces in lower case, None for any other text.
+def measure_texts(texts: list[str | None]) -> pd.DataFrame:
+    """place, sentences, clear, words (hashes) and counts of the texts of at least MIN_WORDS pieces in which no listed language but English prevails.
 
-    English is told by the text's function words, not by any label.
+    clear tells whether CLEARLY_ENGLISH words are CLEAR_SHARE of the text.
     """
-    if not text or len(text.split(None, MIN_WORDS)) < MIN_WORDS:
-        return None
-    words = [w.lower() for w in _WORD.findall(_BROKEN.sub("", text))]
-    told = Counter(l for w in words for l in _LANGUAGE_OF.get(w, ()))
-    if not told or max(told, key=lambda l: (told[l], l == "en")) != "en":
-        return None
-    return words
+    places = [i for i, t in enumerate(texts) if t and len(t.split(None, MIN_WORDS)) >= MIN_WORDS]
+    listed = [_WORD.findall(_BROKEN.sub("", texts[i]).lower()) for i in places]
+    lengths = np.fromiter(map(len, listed), np.int64, len(listed))
+    at, names = pd.factorize(np.array([w for ws in listed for w in ws], dtype=object))
+    hashes = word_hash(names)
+    owner = np.repeat(np.arange(len(listed)), lengths)
+    cell, n = np.unique(owner * max(1, len(names)) + at, return_counts=True)
+    of, word = cell // max(1, len(names)), hashes[cell % max(1, len(names))]
+    told = {l: np.bincount(of, weights=n * np.isin(word, _marked(ws)), minlength=len(listed)) for l, ws in FUNCTION_WORDS.items()}
+    english = (told["en"] > 0) & (told["en"] >= np.max([told[l] for l in told], axis=0))
+    clear = np.bincount(of, weights=n * np.isin(word, _marked(CLEARLY_ENGLISH)), minlength=len(listed)) >= CLEAR_SHARE * lengths
+    ends = np.searchsorted(of, np.arange(1, len(listed) + 1))
+    rows = [
+        (places[k], max(1, sum(1 for s in _SENTENCE.split(texts[places[k]]) if _WORD.search(s))), bool(clear[k]), word[ends[k - 1] if k else 0 : ends[k]], n[ends[k - 1] if k else 0 : ends[k]].astype(np.int32))
+        for k in np.flatnonzero(english)
+    ]
+    return pd.DataFrame(rows, columns=["place", "sentences", "clear", "words", "counts"])
+
+
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, sentences, clear, words, counts) of measure_texts, settled; k is id_col."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = measure_texts(pdf["t"].tolist())
+            out.insert(0, "k", pdf["k"].iloc[out.pop("place").astype(int)].to_numpy())
+            yield out.astype({"k": pdf["k"].dtype, "sentences": "int32", "clear": bool})
+
+    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    return settle(slim.mapInPandas(measure, f"k {slim.schema['k'].dataType.simpleString()}, sentences int, clear boolean, words array<bigint>, counts array<int>"))
+
+
+def frequent_words(texts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, share of the texts that hold each) of the words of at least the share `least` of all texts (words array)."""
+    total = texts.count()
+    rows = texts.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least * total).orderBy("w").toPandas()
+    return rows["w"].to_numpy(np.int64), rows["n"].to_numpy(float) / max(1, total)
 
 
-def _numbers(text: str, words: list[str], rank: dict[str, int]) -> list[float]:
-    """The formula's numbers: shares of unfamiliar words, log sentence length, word length."""
-    n = len(words)
-    held = np.bincount([rank.get(w, len(CUTS)) for w in words], minlength=len(CUTS) + 1)
-    sentences = sum(1 for s in _SENTENCE.split(text) if _WORD.search(s))
-    return [*(1 - np.cumsum(held)[:-1] / n), float(np.log(n / max(1, sentences))), sum(map(len, words)) / n]
+def shares_among(words: pd.Series, counts: pd.Series, listed: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each text the share of its words at each column of weights (listed words x columns of 0 and 1)."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(words)), lengths)
+    w, n = (np.concatenate([np.asarray(x) for x in c]) if len(owner) else np.empty(0, np.int64) for c in (words, counts))
+    at = np.minimum(np.searchsorted(listed, w), max(0, len(listed) - 1))
+    hit = np.flatnonzero(listed[at] == w) if len(listed) else np.empty(0, np.int64)
+    total = np.maximum(np.bincount(owner, weights=n, minlength=len(words)), 1)
+    return np.stack([np.bincount(owner[hit], weights=n[hit] * weights[at[hit], c], minlength=len(words)) for c in range(weights.shape[1])], axis=1) / total[:, None]
 
 
-def familiar_words(docs: DataFrame, text_col: str) -> dict[str, int]:
-    """word to place of the first of CUTS whose share of all English documents holds it."""
+def english_texts(texts: DataFrame) -> DataFrame:
+    """The texts of `measured` that are English: KNOWN_SHARE of their words are known."""
+    known = texts.sparkSession.sparkContext.broadcast(frequent_words(texts.where("clear"), KNOWN_CUT)[0])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf["t"]:
-                words = english_words(t)
-                if words is not None:
-                    held.update(set(words))
-                    held[""] += 1
-            if len(held) > _FLUSH:
-                yield pd.DataFrame(list(held.items()), columns=["word", "n"])
-                held = Counter()
-        yield pd.DataFrame(list(held.items()), columns=["word", "n"])
-
-    counted = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    # "" counts the documents themselves and so is the largest count
-    top = counted.orderBy(F.desc("n"), "word").limit(LIST_WORDS).collect()
-    total = next((r["n"] for r in top if r["word"] == ""), 0)
-    return {r["word"]: next(i for i, c in enumerate(CUTS) if r["n"] >= c * total) for r in top if r["word"] and r["n"] >= CUTS[-1] * total}
+            yield pdf[shares_among(pdf["words"], pdf["counts"], known.value, np.ones((len(known.value), 1)))[:, 0] >= KNOWN_SHARE]
+
+    return texts.mapInPandas(keep, texts.schema)
+
+
+def reading_numbers(english: DataFrame) -> DataFrame:
+    """(k, numbers): the formula's numbers of english texts: the shares of words outside the lists of CUTS, and the log of words to a sentence."""
+    listed, share = frequent_words(english, CUTS[-1])
+    held = english.sparkSession.sparkContext.broadcast((listed, (share[:, None] >= np.array(CUTS)).astype(float)))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            familiar = shares_among(pdf["words"], pdf["counts"], *held.value)
+            per_sentence = np.array([sum(c) for c in pdf["counts"]], float) / pdf["sentences"].to_numpy(float)
+            yield pd.DataFrame({"k": pdf["k"], "numbers": list(np.c_[1 - familiar, np.log(np.maximum(per_sentence, 1e-9))])})
+
+    return english.mapInPandas(measure, f"k {english.schema['k'].dataType.simpleString()}, numbers array<double>")
 
 
 class LevelFormula:
@@ -106,24 +157,6 @@ class LevelFormula:
         return self.levels[(np.c_[(numbers - self.mean) / self.scale, np.ones(len(numbers))] @ self.weights).argmax(axis=1)]
 
 
-def reading_numbers(docs: DataFrame, id_col: str, text_col: str, rank: dict[str, int]) -> DataFrame:
-    """(id_col, numbers array<double>) of every English text of at least MIN_WORDS pieces."""
-    held = docs.sparkSession.sparkContext.broadcast(rank)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, numbers = [], []
-            for i, t in zip(pdf["k"], pdf["t"]):
-                words = english_words(t)
-                if words:
-                    ids.append(i)
-                    numbers.append(_numbers(t, words, held.value))
-            yield pd.DataFrame({"k": pd.Series(ids, dtype=pdf["k"].dtype), "numbers": numbers})
-
-    slim = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return slim.mapInPandas(measure, f"k {slim.schema['k'].dataType.simpleString()}, numbers array<double>").withColumnRenamed("k", id_col)
-
-
 def graded_sample(labels: DataFrame, id_col: str, level_col: str) -> DataFrame:
     """(id_col, level) of at most MAX_GRADED documents on whose level all their graders agree; null grades don't count."""
     one = (
@@ -139,19 +172,18 @@ def reading_levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id_col, reading_level): the level of every English document of at least MIN_WORDS pieces between white space.
 
     Null, empty, short and foreign texts give no row; repeated rows come out as often as they go in. Without any usable
-    grade, levels are quarters of the average word length from 3 to 7.5 letters (1 to 4).
+    grade, levels are quarters of the share of words outside the longest familiar list from 0 to 0.4 (1 to 4).
     """
-    rank = familiar_words(docs, text_col)
-    graded = graded_sample(labels, id_col, level_col)
-    known = reading_numbers(docs.join(F.broadcast(graded.select(id_col)), id_col, "left_semi"), id_col, text_col, rank)
-    fit = known.join(graded, id_col).select("numbers", "level").collect()
+    numbers = settle(reading_numbers(settle(english_texts(measured(docs, id_col, text_col)))))
+    graded = graded_sample(labels, id_col, level_col).withColumnRenamed(id_col, "k")
+    # MAX_GRADED rows
+    fit = numbers.join(F.broadcast(graded), "k").select("numbers", "level").collect()
     formula = LevelFormula(np.array([r["numbers"] for r in fit]), np.array([r["level"] for r in fit])) if fit else None
 
     def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.array(pdf["numbers"].tolist(), dtype=float).reshape(len(pdf), len(CUTS) + 2)
-            found = formula.levels_of(x) if formula else np.clip((x[:, -1] - 3) // 1.125 + 1, 1, 4)
+            x = np.array(pdf["numbers"].tolist(), dtype=float).reshape(len(pdf), len(CUTS) + 1)
+            found = formula.levels_of(x) if formula else np.clip(x[:, -2] // 0.1 + 1, 1, 4)
             yield pd.DataFrame({"k": pdf["k"], "reading_level": found.astype("int32")})
 
-    measured = reading_numbers(docs, id_col, text_col, rank).withColumnRenamed(id_col, "k")
-    return measured.mapInPandas(level, f"k {measured.schema['k'].dataType.simpleString()}, reading_level int").withColumnRenamed("k", id_col)
+    return numbers.mapInPandas(level, f"k {numbers.schema['k'].dataType.simpleString()}, reading_level int").withColumnRenamed("k", id_col)
