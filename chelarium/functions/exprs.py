@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelarium.functions import vocab
+from chelarium.functions.ids import spelling_key
 
 _BLANK_ENDS = r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$"
 
@@ -117,10 +118,12 @@ def element_table(spark: SparkSession) -> DataFrame:
     return df.withColumn("charge_density", F.col("oxidation_state") / F.pow("ionic_radius_pm", F.lit(3)))
 
 
+def split_name(c: Column | str) -> Column:
+    """train, validation or test, however spelled; null for any other text."""
+    k = spelling_key(c)
+    return reduce(lambda rest, kv: F.when(k.isin(*kv[1]), kv[0]).otherwise(rest), vocab.SPLITS.items(), F.lit(None).cast("string"))
+
+
 def run_cost(n_chars: Column, n_texts: Column) -> Column:
     """Estimated price of extracting texts: input at 3.5 characters a token and 0.15 per million, 1500 output tokens each at 0.60 per million."""
     return F.round(F.coalesce(n_chars / 3.5 * 0.15e-6 + 1500 * n_texts * 0.60e-6, F.lit(0.0)), 4)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

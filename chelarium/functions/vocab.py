@@ -22,6 +22,10 @@ ELEMENTS = (
     ("Ytterbium", 70, 3, 98.5, 1),
     ("Lutetium", 71, 3, 97.7, 1),
 )
+# Spellings of the splits, lower-case letters only.
+SPLITS = {"train": ("train", "training", "trn"), "validation": ("validation", "val", "valid", "dev", "development"), "test": ("test", "testing", "holdout", "heldout", "tst")}
+# Sources that the strict tier leaves out, as they comment on the measurements of others.
+EXCLUDED_PAPERS = ("nature_d41586-023-01739",)
 ELEMENT_COLUMNS = ("element", "atomic_number", "oxidation_state", "ionic_radius_pm", "is_lanthanide")
 
 # Symbols of the trivalent elements, in the order in which predictions are listed, then scandium.
@@ -92,5 +96,4 @@ FAMILIES = {
     "binding_capacity": ("binding",),
     "process_metric": ("fold difference", "fold_change", "purity", "yield", "separation"),
 }
-UNITLESS = ("unitless", "logd", "log_d", "sf", "separation_factor", "fold", "ratio")
 MOLAR_SCALES = {"m": 1.0, "um": 1e-6, "μm": 1e-6, "µm": 1e-6, "nm": 1e-9, "pm": 1e-12, "fm": 1e-15}

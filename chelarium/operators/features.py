@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chelarium.functions import exprs, protein
+from chelarium.functions import exprs, protein, vocab
 from chelarium.operators import encode, quality
 from chelarium.session import settle
 
 METADATA = ("measurement_id", "variant_id", "target_element", "selectivity_cluster", "value", "split")
-CATEGORICAL = tuple(f"ef{k}_pos{p}" for k in range(1, protein.SHOWN_MOTIFS + 1) for p in protein.MOTIF_PLACES)
-ELEMENT_NUMBERS = ("atomic_number", "oxidation_state", "ionic_radius_pm", "is_lanthanide", "charge_density")
+CATEGORICAL = tuple(f"ef{k}_motif_pos{p}" for k in range(1, protein.SHOWN_MOTIFS + 1) for p in protein.MOTIF_PLACES)
+# Names in the frozen schema that differ from those of the expressions.
+FROZEN_NAMES = {"pct_d": "pct_D", "pct_e": "pct_E", "pct_n": "pct_N", "pct_t": "pct_T", "pct_k": "pct_K", "pct_r": "pct_R", "charge_at_ph7": "charge_at_pH7", "ionic_radius_pm": "ionic_radius_pm_cn8", "charge_density": "charge_density_z_per_pm3"}
 ABSENT_NUMBER = -1.0
 INSTABILITY = "instability_index"
 
@@ -27,7 +28,8 @@ def sequence_features(df: DataFrame, column: str = "sequence", weights: dict[str
     made = protein.sequence_numbers(F.col("_s")) | protein.motif_letters(F.col("_h")) | protein.motif_numbers(F.col("_h"), F.col("_s"))
     if weights:
         made[INSTABILITY] = protein.instability(F.col("_s"), weights)
-    return with_hits.select(column, *(c.alias(n) for n, c in made.items()))
+    named = {f"ef{k}_pos{p}": f"ef{k}_motif_pos{p}" for k in range(1, protein.SHOWN_MOTIFS + 1) for p in protein.MOTIF_PLACES} | FROZEN_NAMES
+    return with_hits.select(column, *(c.alias(named.get(n, n)) for n, c in made.items()))
 
 
 def numeric_names(features: DataFrame) -> list[str]:
@@ -35,16 +37,30 @@ def numeric_names(features: DataFrame) -> list[str]:
 
 
 def feature_rows(measurements: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """measurements (sequence, target_element, ...) with all raw features; rows without sequence or with an unknown element are left out.
-
-    Use `quality.unmatched` on the inputs first where such rows are an error.
-    """
-    elements = exprs.element_table(measurements.sparkSession).withColumnRenamed("element", "target_element")
+    """measurements (sequence, target_element, ...) with all raw features. A row without a canonical sequence or with an unknown
+    element is an error; see left_out for those rows."""
+    elements = _elements(measurements)
+    quality.require_empty(left_out(measurements).select(F.concat_ws(": ", "reason", "target_element", F.substring("sequence", 1, 20)).alias("bad")).distinct(), "rows that have no features", "bad")
     # 17 rows
     per_sequence = settle(sequence_features(measurements.select("sequence"), weights=weights))
     return measurements.join(per_sequence, "sequence").join(F.broadcast(elements), "target_element")
 
 
+def _elements(df: DataFrame) -> DataFrame:
+    return exprs.element_table(df.sparkSession).withColumnRenamed("element", "target_element").withColumnsRenamed(FROZEN_NAMES)
+
+
+def left_out(measurements: DataFrame) -> DataFrame:
+    """measurements that have no features, with `reason`: no_sequence, bad_alphabet or unknown_element."""
+    seq = F.upper(exprs.strip("sequence"))
+    reason = (
+        F.when(F.coalesce(seq, F.lit("")) == "", "no_sequence")
+        .when(~seq.rlike(f"^[{protein.CANONICAL}]+$"), "bad_alphabet")
+        .when(~F.coalesce(F.col("target_element").isin(*(e[0] for e in vocab.ELEMENTS)), F.lit(False)), "unknown_element")
+    )
+    return measurements.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
 def build_matrix(measurements: DataFrame, weights: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, list[str]], list[str]]:
     """(matrix, categories, feature names): metadata and encoded features; categories come from the training split only."""
     # read several times below and by every later fit

@@ -7,9 +7,12 @@ full, scored per tree on the held-out rows, and cut after the best number of tre
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import statistics
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark import SparkContext
@@ -19,7 +22,15 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chelarium.functions import exprs, protein, vocab
+from chelarium.operators import folds as folding
+from chelarium.operators import ranks
 from chelarium.operators.features import ABSENT_NUMBER
+from chelarium.session import exists, settle
+
+MODEL_NAME = "boosted trees"
+MIN_MOTIFS, REDUCED_CONFIDENCE = 3, ("Samarium",)
+OUTER_FOLDS, INNER_FOLDS = 5, 7
 
 
 @dataclass
@@ -104,22 +115,114 @@ def sample_params(n: int, seed: int = 42, rounds: int = 60) -> list[TreeParams]:
     ]
 
 
-def tune(folded: DataFrame, names: list[str], draws: list[TreeParams], folds: int, parallel: int = 2) -> DataFrame:
-    """(trial, mean_score, std_score, median_round, rank): each draw fitted on all folds but one, scored by negative rmse on that.
-
-    folded: names, value and fold. std is that of the population; ties in rank share the smaller rank.
+def metric_bundle(predicted: DataFrame, expected: tuple[str, ...] = ()) -> DataFrame:
+    """(kind, name, value) of predicted rows (value, predicted, target_element, variant_id): n, rmse, mae and r2 as `overall`, rank
+    correlation as `element` and `variant`, their unweighted means as `macro`, and every expected element without one as `missing`."""
+    rows = settle(predicted.select("value", "predicted", "target_element", "variant_id"))
+    whole = ranks.regression_metrics(rows, "value", "predicted")
+    parts = [whole.unpivot([], [F.col(c).cast("double").alias(c) for c in whole.columns], "name", "value").withColumn("kind", F.lit("overall"))]
+    for kind, column in (("element", "target_element"), ("variant", "variant_id")):
+        rho = settle(ranks.grouped_spearman(rows, column, "value", "predicted"))
+        parts.append(rho.select(F.lit(kind).alias("kind"), F.col(column).alias("name"), F.col("rho").alias("value")))
+        parts.append(ranks.macro_spearman(rho).select(F.lit("macro").alias("kind"), F.lit(kind).alias("name"), F.col("macro_rho").alias("value")))
+        if kind == "element" and expected:
+            listed = rows.sparkSession.createDataFrame([(e,) for e in expected], "name string")
+            gone = listed.join(F.broadcast(rho.where("rho IS NOT NULL").select(F.col(column).alias("name"))), "name", "left_anti")
+            parts.append(gone.select(F.lit("missing").alias("kind"), "name", F.lit(None).cast("double").alias("value")))
+    out = parts[0].select("kind", "name", "value")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def fold_membership(rows: DataFrame, entity: str = "variant_id", stratum: str = "selectivity_cluster", outer: int = OUTER_FOLDS, inner: int = INNER_FOLDS, seed: int = 42) -> DataFrame:
+    """(entity, fold, held_in): outer fold of every entity and the outer folds whose fits stop early by it; the same for all trials.
+
+    The holdout of an outer fold is one of `inner` stratified parts of the other folds' entities.
     """
-    spark = folded.sparkSession
+    entities = folding.entity_strata(rows, entity, stratum)
+    folded = settle(folding.stratified_folds(entities, entity, stratum, outer, seed).select(entity, stratum, "fold"))
+    held = [
+        folding.stratified_folds(folded.where(F.col("fold") != k).select(entity, stratum), entity, stratum, inner, seed + k).where("fold = 0").select(entity, F.lit(k).alias("k"))
+        for k in range(outer)
+    ]
+    every = held[0]
+    for h in held[1:]:
+        every = every.unionByName(h)
+    # an entity is held in fewer than `outer` folds
+    per = every.groupBy(entity).agg(F.array_sort(F.collect_set("k")).alias("held_in"))
+    return settle(folded.join(per, entity, "left").select(entity, "fold", F.coalesce("held_in", F.array().cast("array<int>")).alias("held_in")))
 
-    def run(job: tuple[int, int]) -> tuple[int, float, int]:
-        trial, fold = job
-        f = fit_with_holdout(folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold), names, draws[trial])
-        return trial, -f.holdout_rmse, f.best_round
+
+def tune(rows: DataFrame, membership: DataFrame, names: list[str], draws: list[TreeParams], checkpoint: str, entity: str = "variant_id", parallel: int = 2) -> DataFrame:
+    """trial_ranks of the draws: each is fitted on all outer folds but one less its inner holdout, which alone picks the number of
+    trees, and scored on the outer fold by the mean over elements of the rank correlation.
+
+    Each finished trial is written below `checkpoint`, and trials found there are not run again; use a new folder for other draws.
+    """
+    spark = rows.sparkSession
+    joined = settle(rows.join(membership, entity))
+    outer = sorted(r["fold"] for r in membership.select("fold").distinct().collect())
+    # a folder per trial: trials that end at the same time don't share an output folder
+    done = {t for t in range(len(draws)) if exists(spark, f"{checkpoint}/trial={t}/_SUCCESS")}
+
+    def run(trial: int) -> None:
+        found = []
+        for k in outer:
+            own = F.array_contains("held_in", k)
+            fitted = fit_with_holdout(joined.where((F.col("fold") != k) & ~own), joined.where(own), names, draws[trial])
+            rho = ranks.grouped_spearman(predict(fitted, joined.where(F.col("fold") == k)), "target_element", "value", "predicted")
+            score = ranks.macro_spearman(rho).first()["macro_rho"]
+            found.append((k, float("nan") if score is None else float(score), fitted.best_round, json.dumps(asdict(draws[trial]))))
+        spark.createDataFrame(found, "fold int, score double, best_round int, params string").coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/trial={trial}")
 
     with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(run, [(t, k) for t in range(len(draws)) for k in range(folds)]))
-    scores = spark.createDataFrame(done, "trial int, score double, best_round int")
-    return trial_ranks(scores)
+        list(pool.map(run, [t for t in range(len(draws)) if t not in done]))
+    return trial_ranks(spark.read.parquet(checkpoint).withColumn("score", F.nanvl("score", F.lit(-1.0))))
+
+
+def best_trial(spark, checkpoint: str) -> tuple[int, TreeParams]:
+    """(trial, parameters) of the best mean score, the first of equal ones; rounds is the median over the folds of the number of trees."""
+    rows = spark.read.parquet(checkpoint).where(~F.isnan("score")).collect()  # trials by folds
+    if not rows:
+        raise ValueError("no trial has a score: its predictions are constant within every element")
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["trial"], []).append(r)
+    trial = max(by, key=lambda t: (statistics.fmean(r["score"] for r in by[t]), -t))
+    return trial, TreeParams(**(json.loads(by[trial][0]["params"]) | {"rounds": max(1, int(statistics.median(r["best_round"] for r in by[trial])))}))
+
+
+def retrain(train: DataFrame, names: list[str], params: TreeParams) -> Fitted:
+    """Fitted on all training rows with exactly params.rounds trees, without any holdout."""
+    return Fitted(_pipeline(names, params, params.rounds).fit(_dense(train, names)), names, params.rounds, float("nan"), params)
+
+
+def model_version(fitted: Fitted) -> str:
+    """Same trees, same version: a hash of all trees and the feature names."""
+    text = "\n".join([*fitted.names, fitted.trees.toDebugString.split("\n", 1)[1], *map(str, fitted.trees.treeWeights)])
+    return f"gbt:{hashlib.sha256(text.encode()).hexdigest()[:12]}"
+
+
+def save_fitted(fitted: Fitted, spark, folder: str, metrics: DataFrame | None = None, membership: DataFrame | None = None) -> None:
+    """Model, its description, importances and, if given, metrics and fold membership below folder."""
+    fitted.model.write().overwrite().save(f"{folder}/model")
+    about = {"names": fitted.names, "best_round": fitted.best_round, "holdout_rmse": fitted.holdout_rmse, "params": asdict(fitted.params), "version": model_version(fitted)}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
+    for name, df in {"importance": importance(fitted, spark), "metrics": metrics, "folds": membership}.items():
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_fitted(spark, folder: str) -> Fitted:
+    about = json.loads(spark.read.text(f"{folder}/about").first()["value"])
+    return Fitted(PipelineModel.load(f"{folder}/model"), about["names"], about["best_round"], about["holdout_rmse"], TreeParams(**about["params"]))
+
+
+def model_info(spark, folder: str) -> dict[str, str]:
+    """Name, version and place of a saved model; the version is `unknown` where there is none."""
+    version = json.loads(spark.read.text(f"{folder}/about").first()["value"])["version"] if exists(spark, f"{folder}/about") else "unknown"
+    return {"model_name": MODEL_NAME, "model_version": version, "model_path": folder}
 
 
 def trial_ranks(scores: DataFrame) -> DataFrame:
@@ -131,6 +234,22 @@ def trial_ranks(scores: DataFrame) -> DataFrame:
 
 
 def ranked_profile(predictions: DataFrame) -> DataFrame:
-    """Rank of each element within a sequence's predictions; ties go by the listed order of elements."""
+    """Rank of each element within a sequence's predictions, with the confidence in it; ties go by the listed order of elements."""
     w = Window.partitionBy("seq_id").orderBy(F.desc("predicted"), F.asc("element_place"))
-    return predictions.withColumn("rank", F.row_number().over(w)).withColumn("reduced_confidence", F.col("target_element") == "Samarium")
+    reduced = F.col("target_element").isin(*REDUCED_CONFIDENCE)
+    note = F.when(reduced, "reduced: most training values are at or near the upper end").otherwise("")
+    number = exprs.choose(F.col("target_element"), {e[0]: e[1] for e in vocab.ELEMENTS})
+    return predictions.withColumn("rank", F.row_number().over(w)).withColumns({"reduced_confidence": reduced, "confidence_note": note, "atomic_number": number})
+
+
+def profile_summary(sequences: DataFrame, fitted: Fitted) -> DataFrame:
+    """(seq_id, is_valid, error, sequence, length, n_motifs, warnings, model_name, model_version): every sequence, valid or not.
+
+    Invalid sequences have an error, no warnings and no predictions; see features.profile_rows for the predictions of the others.
+    """
+    v = sequences.select("seq_id", protein.validated_sequence("sequence").alias("v"))
+    n = F.when(F.col("v.is_valid"), F.size(protein.motifs(F.col("v.sequence")))).otherwise(0)
+    few = F.when(F.col("n_motifs") < MIN_MOTIFS, F.format_string("few metal-binding motifs (%d): outside of what the model was trained on", "n_motifs"))
+    warnings = F.when(F.col("v.is_valid"), F.array_compact(F.array(few, F.lit("reduced confidence: " + ", ".join(REDUCED_CONFIDENCE))))).otherwise(F.array().cast("array<string>"))
+    made = v.withColumn("n_motifs", n).withColumn("warnings", warnings)
+    return made.select("seq_id", "v.is_valid", "v.error", "v.sequence", "v.length", "n_motifs", "warnings", F.lit(MODEL_NAME).alias("model_name"), F.lit(model_version(fitted)).alias("model_version"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chelarium.functions import exprs, vocab
 from chelarium.operators.ranks import numbered
 
+# Columns of the screening sheet and of both long tables.
 SCREENING_RENAMES = {"ID-4": "id_4", "ID-6": "id_6", "Sequence..SP.Removed.": "sequence_sp_removed"}
 TAXONOMY = ("phylum", "class", "order", "family", "genus")
 SCREENING_COLUMNS = (
@@ -115,6 +116,15 @@ def saturation_profile(df: DataFrame, group: str, value: str, high: float = 0.95
     )
 
 
+def strict_tier(df: DataFrame, excluded: tuple[str, ...] = vocab.EXCLUDED_PAPERS) -> DataFrame:
+    """The rows of headline comparisons: affinity candidates measured by the source itself, of no excluded source and not of calcium.
+
+    A null source or element is neither excluded nor calcium; calcium counts in every spelling.
+    """
+    source, element = F.coalesce("source_paper", F.lit("")), F.coalesce(exprs.element_name("target_element"), F.lit(""))
+    return df.where(F.col("is_molar_affinity_candidate") & (F.col("value_source_type") == "primary") & ~source.isin(*excluded) & (element != "Calcium"))
+
+
 def changed_rows(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n_changed): rows whose two columns differ, null being equal to null."""
     return df.agg(F.coalesce(F.sum((~F.col(a).eqNullSafe(F.col(b))).cast("long")), F.lit(0)).alias("n_changed"))

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chelarium.functions import exprs, protein, vocab
-from chelarium.functions.ids import id_key, spelling_key
+from chelarium.functions.ids import id_key
 from chelarium.operators import encode, features, folds, merge, model, quality, ranks, tables
 from chelarium.plans.general import table
 from chelarium.plans.reference_sql import ORACLES  # noqa: F401
 
-PRIORITIES = {"o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "o_orderstatus": ["F", "O", "P"]}
 MEASURES = ["pct_d", "pct_e", "pct_n", "pct_t", "pct_k", "pct_r"]
 
 
@@ -52,7 +51,8 @@ def q_unpivot_measures(spark, sf_dir):
 
 def q_onehot_aligned(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    fitted = encode.fit_categories(o.where("o_orderdate < TIMESTAMP '1995-01-01' OR o_orderdate >= TIMESTAMP '1995-01-01'"), list(PRIORITIES))
+    # fitted on orders that are open or closed: the status of those partly delivered is unseen and gives zeros throughout
+    fitted = encode.fit_categories(o.where("o_orderstatus <> 'P'"), ["o_orderpriority", "o_orderstatus"])
     names = [f"{c}_{v}" for c, vs in fitted.items() for v in vs] + ["o_totalprice", "absent"]
     return encode.align(encode.encode(o.select("o_orderkey", *fitted, "o_totalprice"), fitted, ["o_totalprice"]), names, ["o_orderkey"])
 
@@ -71,7 +71,7 @@ def q_folds(spark, sf_dir):
 
 
 def q_split_overlap(spark, sf_dir):
-    rows = table(spark, sf_dir, "ml_ready_features").select(id_key("variant_id").alias("variant"), spelling_key("split").alias("split"))
+    rows = table(spark, sf_dir, "ml_ready_features").select(id_key("variant_id").alias("variant"), exprs.split_name("split").alias("split")).where("variant IS NOT NULL")
     return quality.groups_in_several(rows, "variant", "split")
 
 
@@ -101,7 +101,7 @@ def q_dropped_and_kept(spark, sf_dir):
 
 def q_profile_rank(spark, sf_dir):
     order = {e: i for i, e in enumerate(vocab.PREDICTED)}
-    rows = table(spark, sf_dir, "ml_ready_features").select("measurement_id", id_key("variant_id").alias("variant"), "target_element", "value").distinct()
+    rows = table(spark, sf_dir, "ml_ready_features").select("measurement_id", id_key("variant_id").alias("variant"), "target_element", "value").where("variant IS NOT NULL").distinct()
     ranked = tables.first_rank(rows.withColumn("place", exprs.choose(F.col("target_element"), order)), "variant", [F.desc_nulls_last("value"), F.asc_nulls_last("place"), F.asc("measurement_id")])
     return ranked.select("measurement_id", "variant", "target_element", "rank")
 
@@ -186,8 +186,7 @@ def q_families(spark, sf_dir):
 
 
 def q_strict_tier(spark, sf_dir):
-    t = table(spark, sf_dir, "literature_binding_data")
-    return t.where("is_molar_affinity_candidate AND value_source_type = 'primary' AND target_element <> 'Calcium'").select("measurement_id", F.round(-F.log10("value_in_molar"), 6).alias("affinity_score"))
+    return tables.strict_tier(table(spark, sf_dir, "literature_binding_data")).select("measurement_id", F.round(-F.log10("value_in_molar"), 6).alias("affinity_score"))
 
 
 def q_taxonomy_text(spark, sf_dir):
@@ -272,14 +271,29 @@ def q_repaired_variants(spark, sf_dir):
     return merge.repair(*_extracted(spark, sf_dir))[0].select("paper_id", "variant_id", "construct_type", "parent_scaffold", "source_organism")
 
 
-def _matrix(spark, sf_dir):
-    split = spelling_key("split")
-    train = F.when(split.isin("train", "training", "trn"), "train").when(split.isNotNull(), "test")
-    rows = table(spark, sf_dir, "ml_ready_features").select("measurement_id", id_key("variant_id").alias("variant_id"), "target_element", "selectivity_cluster", "value", train.alias("split")).where("split IS NOT NULL AND value IS NOT NULL")
+def _feature_inputs(spark, sf_dir):
+    """Measurements with the split read and the sequence of their variant; an exact repeat counts once."""
+    rows = table(spark, sf_dir, "ml_ready_features").select("measurement_id", id_key("variant_id").alias("variant_id"), "target_element", "selectivity_cluster", "value", exprs.split_name("split").alias("split"))
     seq = F.upper(F.regexp_replace("sequence", "[^A-Za-z]", ""))
     s = table(spark, sf_dir, "protein_variants").select(id_key("variant_id").alias("variant_id"), seq.alias("sequence")).where(f"sequence RLIKE '^[{protein.CANONICAL}]{{50,}}$'")
     one = s.groupBy("variant_id").agg(F.min("sequence").alias("sequence"))
-    return features.build_matrix(rows.dropDuplicates(["measurement_id"]).join(one, "variant_id"))
+    return rows.dropDuplicates(["measurement_id"]).join(one, "variant_id", "left")
+
+
+def _usable(inputs):
+    """inputs with `reason`, null where the row can be fitted or scored."""
+    rejected = F.when(F.col("variant_id").isNull(), "no_variant").when(F.col("split").isNull(), "no_split").when(F.col("value").isNull() | F.isnan("value"), "no_value")
+    known = F.col("target_element").isin(*(e[0] for e in vocab.ELEMENTS))
+    return inputs.withColumn("reason", rejected.when(F.col("sequence").isNull(), "no_sequence").when(~F.coalesce(known, F.lit(False)), "unknown_element"))
+
+
+def _matrix(spark, sf_dir):
+    return features.build_matrix(_usable(_feature_inputs(spark, sf_dir)).where("reason IS NULL").drop("reason"))
+
+
+def q_feature_rejects(spark, sf_dir):
+    """Rows that the feature matrix leaves out, by the first reason that holds."""
+    return _usable(_feature_inputs(spark, sf_dir)).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n_rows"))
 
 
 def q_feature_matrix(spark, sf_dir):
@@ -302,6 +316,12 @@ def q_gbt_metrics(spark, sf_dir):
     return _rounded(ranks.regression_metrics(model.predict(fitted, matrix.where("split = 'test'")), "value", "predicted"))
 
 
+def q_gbt_bundle(spark, sf_dir):
+    """All metrics of the held-out test rows, and rank correlation by element and by variant."""
+    fitted, matrix, _, _ = _fitted(spark, sf_dir)
+    return _rounded(model.metric_bundle(model.predict(fitted, matrix.where("split = 'test'")), vocab.PREDICTED))
+
+
 def q_importance(spark, sf_dir):
     return model.importance(_fitted(spark, sf_dir)[0], spark)
 

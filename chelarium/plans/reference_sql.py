@@ -63,15 +63,17 @@ ORACLES = {
     "q_regression_metrics": "WITH r AS (SELECT value AS y, hydrophobicity_pct AS p FROM ml_ready_features WHERE value IS NOT NULL AND hydrophobicity_pct IS NOT NULL) SELECT count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2 FROM r",
     "q_trial_ranks": "WITH t AS (SELECT p_size AS trial, avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS s FROM part GROUP BY 1) SELECT trial, round(m, 6) AS mean_score, round(s, 6) AS std_score, trial AS median_round, rank() OVER (ORDER BY m DESC) AS rank FROM t",
     "q_unpivot_measures": " UNION ALL ".join(f"SELECT measurement_id, '{c}' AS feature, {c} AS share FROM ml_ready_features WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in ("pct_d", "pct_e", "pct_n", "pct_t", "pct_k", "pct_r")),
-    "q_onehot_aligned": "SELECT o_orderkey, " + ", ".join(f"""CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS "{c}_{v}" """ for c, vs in {"o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "o_orderstatus": ["F", "O", "P"]}.items() for v in vs) + ", o_totalprice, 0.0::DOUBLE AS absent FROM orders",
+    "q_onehot_aligned": "SELECT o_orderkey, " + ", ".join(f"""CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS "{c}_{v}" """ for c, vs in {"o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "o_orderstatus": ["F", "O"]}.items() for v in vs) + ", o_totalprice, 0.0::DOUBLE AS absent FROM orders",
     "q_group_split": f"WITH {_STRATA} SELECT variant, coalesce(cluster, -1) AS cluster, CASE WHEN place <= floor(size * 0.2::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS split FROM p",
     "q_folds": f"WITH {_STRATA} SELECT variant, coalesce(cluster, -1) AS cluster, CAST((place - 1) % 5 AS INT) AS fold FROM p",
-    "q_split_overlap": f"SELECT {_KEY} AS variant, count(DISTINCT {_SPELL.format('split')}) AS n_splits FROM ml_ready_features GROUP BY 1 HAVING count(DISTINCT {_SPELL.format('split')}) > 1",
+    "q_split_overlap": f"""WITH s AS (SELECT {_KEY} AS variant, lower(trim(split, E' \\t\\n')) AS t FROM ml_ready_features),
+n AS (SELECT variant, CASE WHEN t LIKE 'tr%' THEN 1 WHEN t LIKE 'val%' OR t LIKE 'dev%' THEN 2 WHEN t LIKE 'test%' OR t LIKE 'held%' OR t LIKE 'hold%' OR t = 'tst' THEN 3 END AS k FROM s WHERE variant IS NOT NULL)
+SELECT variant, count(DISTINCT k) AS n_splits FROM n GROUP BY 1 HAVING count(DISTINCT k) > 1""",
     "q_last_wins": f"SELECT variant, record_id, construct_type, source_organism FROM (SELECT *, {_KEY} AS variant, row_number() OVER (PARTITION BY {_KEY} ORDER BY loaded_at DESC, record_id DESC) AS k FROM protein_variants) WHERE k = 1",
     "q_composite_lookup": f"WITH v AS (SELECT {_KEY} AS variant, source_paper, max(record_id) AS record_id, arg_max_null(taxonomy, record_id) AS taxonomy FROM protein_variants GROUP BY 1, 2) SELECT m.measurement_id, coalesce(v.record_id, -1) AS record_id, v.taxonomy FROM literature_binding_data m LEFT JOIN v ON {id_key_sql('m.variant_id')} = v.variant AND m.source_paper = v.source_paper",
     "q_unlisted_variants": f"SELECT DISTINCT {_KEY} AS variant FROM binding_measurements WHERE {_KEY} IS NOT NULL AND {_KEY} NOT IN (SELECT {_KEY} FROM protein_variants WHERE {_KEY} IS NOT NULL)",
     "q_dropped_and_kept": "SELECT n_nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0 AND c_mktsegment = 'BUILDING') THEN 'kept' ELSE 'dropped' END AS kind FROM nation",
-    "q_profile_rank": f"WITH r AS (SELECT DISTINCT measurement_id, {_KEY} AS variant, target_element, value FROM ml_ready_features) SELECT measurement_id, variant, target_element, row_number() OVER (PARTITION BY variant ORDER BY value DESC NULLS LAST, {_case('target_element', {e: i for i, e in enumerate(vocab.PREDICTED)})} NULLS LAST, measurement_id) AS rank FROM r",
+    "q_profile_rank": f"WITH r AS (SELECT DISTINCT measurement_id, {_KEY} AS variant, target_element, value FROM ml_ready_features WHERE {_KEY} IS NOT NULL) SELECT measurement_id, variant, target_element, row_number() OVER (PARTITION BY variant ORDER BY value DESC NULLS LAST, {_case('target_element', {e: i for i, e in enumerate(vocab.PREDICTED)})} NULLS LAST, measurement_id) AS rank FROM r",
     "q_element_grid": "WITH el(target_element, z, ox, r) AS (VALUES " + ", ".join(f"('{e}', {z}, {ox}, {r}::DOUBLE)" for e, z, ox, r, _ in vocab.ELEMENTS if e in vocab.PREDICTED) + f") SELECT variant, target_element, z AS atomic_number, round(ox / pow(r, 3) * 1e6, 6) AS density FROM (SELECT DISTINCT {_KEY} AS variant FROM protein_variants), el",
     "q_merged_counts": f"""WITH p AS (SELECT *, {_KEY} AS variant FROM protein_variants),
 g AS (SELECT variant, count(*) AS n, arg_min_null(construct_type, record_id) AS construct_type FROM p GROUP BY 1),
@@ -104,7 +106,7 @@ SELECT record_id, error IS NULL AS is_valid, length, error FROM e""",
     "q_element_names": f"SELECT target_element AS raw, {_ELEMENT} AS element, {_IS_GROUP} AS is_group, count(*) AS n_rows FROM binding_measurements GROUP BY 1, 2, 3",
     "q_unit_rules": f"SELECT value_units AS units, {_case(_SCALE, vocab.MOLAR_SCALES)}::DOUBLE AS lenient, {_case(_SCALE, vocab.MOLAR_SCALES | {'mm': 1e-3})}::DOUBLE AS strict, count(*) AS n_rows FROM literature_binding_data GROUP BY 1, 2, 3",
     "q_families": f"SELECT {_FAMILY} AS family, coalesce({_FAMILY} = 'binding_affinity', false) AND value_in_molar IS NOT NULL AS candidate, count(*) AS n_rows FROM literature_binding_data GROUP BY 1, 2",
-    "q_strict_tier": "SELECT measurement_id, round(CASE WHEN value_in_molar > 0 THEN -log10(value_in_molar) END, 6) AS affinity_score FROM literature_binding_data WHERE is_molar_affinity_candidate AND value_source_type = 'primary' AND target_element <> 'Calcium'",
+    "q_strict_tier": "SELECT measurement_id, round(CASE WHEN value_in_molar > 0 THEN -log10(value_in_molar) END, 6) AS affinity_score FROM literature_binding_data WHERE is_molar_affinity_candidate AND value_source_type = 'primary' AND source_paper IS DISTINCT FROM 'nature_d41586-023-01739' AND NOT coalesce(regexp_matches(lower(" + _STRIP.format("target_element") + r"), '^ca(lcium)?($|[^a-z])'), false)",
     "q_taxonomy_text": "SELECT p_partkey, nullif(concat_ws(' | ', CASE WHEN p_size % 3 <> 0 THEN 'brand=' || p_brand END, CASE WHEN p_size % 2 <> 0 THEN 'type=' || p_type END, CASE WHEN p_size > 5 THEN 'size=' || p_size END), '') AS text FROM part",
     "q_saturation_profile": "SELECT target_element, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(avg(CAST(value >= 0.95 AS INT)), 6) AS share_high, round(avg(CAST(value = 1 AS INT)), 6) AS share_full, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75 FROM ml_ready_features WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1",
     "q_concordance": f"""WITH a AS (SELECT {_KEY} AS variant, {_ELEMENT} AS element, max(-log10(value_in_molar)) AS score FROM literature_binding_data WHERE is_molar_affinity_candidate AND value_in_molar > 0 GROUP BY 1, 2),
@@ -131,6 +133,11 @@ SELECT reason, count(*) AS n_rows FROM r GROUP BY 1""",
   CASE WHEN parent_scaffold IS NOT NULL AND {_STRIP.format('parent_scaffold')} = '' THEN 'blank_scaffold' END], lambda x: x IS NOT NULL)) AS reason FROM protein_variants)
 SELECT reason, count(*) AS n_rows FROM r GROUP BY 1""",
     "q_changed_molar": f"SELECT count(*) FILTER (WHERE a IS DISTINCT FROM b) AS n_changed FROM (SELECT round(CASE WHEN value_in_molar > 0 THEN log10(value_in_molar) END, 6) AS a, round(CASE WHEN value > 0 THEN log10(value * {_case(_SCALE, vocab.MOLAR_SCALES)}::DOUBLE) END, 6) AS b FROM literature_binding_data)",
+    "q_feature_rejects": f"""WITH m AS (SELECT measurement_id, any_value({_KEY}) AS variant, any_value(lower(trim(split, E' \\t\\n'))) AS t, any_value(value) AS value, any_value(target_element) AS e FROM ml_ready_features GROUP BY 1),
+s AS (SELECT DISTINCT {_KEY} AS variant FROM protein_variants WHERE regexp_full_match(upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')), '[{protein.CANONICAL}]{{50,}}')),
+r AS (SELECT CASE WHEN m.variant IS NULL THEN 'no_variant' WHEN t IS NULL OR NOT regexp_matches(t, '^(tr|val|dev|test|held|hold|tst)') THEN 'no_split' WHEN value IS NULL OR isnan(value) THEN 'no_value' WHEN s.variant IS NULL THEN 'no_sequence'
+  WHEN e IS NULL OR e NOT IN ({', '.join(repr(e[0]) for e in vocab.ELEMENTS)}) THEN 'unknown_element' END AS reason FROM m LEFT JOIN s ON m.variant = s.variant)
+SELECT reason, count(*) AS n_rows FROM r WHERE reason IS NOT NULL GROUP BY 1""",
     "q_json_fields": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max('{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}') AS last FROM events GROUP BY 1",
     "q_explode_renest": "SELECT record_id, array_to_string(mutations, '|') AS mutations, CAST(len(mutations) AS INT) AS n FROM protein_variants WHERE len(mutations) > 0",
 }

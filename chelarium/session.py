@@ -30,12 +30,15 @@ def build_session(app: str = "chelarium", master: str | None = None, shuffle_par
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a single machine) is a local folder made and set.
+    Only where that setting is absent on a single machine (tests) is a local folder made and set; on a cluster that is an error, as
+    executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         local = tempfile.mkdtemp(prefix="chelarium-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
@@ -51,6 +54,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder in the file system that the path belongs to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_settled(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files behind a settled frame that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelarium.functions import exprs
+from chelarium.session import exists
 
 # Files beside the papers that are none.
 SKIPPED_TEXTS = (".gitkeep", ".ds_store", "readme.md", "prompt.md")
@@ -43,7 +43,9 @@ def list_corpus(spark: SparkSession, folder: str, skipped: tuple[str, ...] = SKI
 
 
 def read_extractions(spark: SparkSession, folder: str) -> DataFrame:
-    """(paper_id, variants, measurements, notes): one document per JSON file, missing lists are empty."""
+    """(paper_id, variants, measurements, notes): one document per JSON file, missing lists are empty; a missing folder has no documents."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], f"paper_id string, {EXTRACTION}")
     raw = spark.read.schema(EXTRACTION).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
     return raw.select(
         _stem().alias("paper_id"),
@@ -53,9 +55,10 @@ def read_extractions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def write_extractions(extractions: DataFrame, folder: str) -> None:
-    """One folder per paper with its document as JSON."""
+def write_extractions(extractions: DataFrame, folder: str) -> int:
+    """One folder per paper with its document as JSON; returns the number of papers."""
     extractions.write.mode("overwrite").partitionBy("paper_id").json(folder)
+    return extractions.select("paper_id").distinct().count()
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
@@ -72,18 +75,14 @@ def write_matrix(matrix: DataFrame, categories: dict[str, list[str]], names: lis
     if matrix.isEmpty():
         raise ValueError("refusing to save an empty matrix")
     matrix.write.mode("overwrite").parquet(f"{folder}/matrix")
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "schema.json").write_text(json.dumps({"features": names, "categories": categories}, indent=1))
+    about = json.dumps({"features": names, "categories": categories})
+    matrix.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/schema")
 
 
 def read_matrix(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, list[str]], list[str]]:
-    held = json.loads(Path(folder, "schema.json").read_text())
+    held = json.loads(spark.read.text(f"{folder}/schema").first()["value"])
     matrix = spark.read.parquet(f"{folder}/matrix")
     if gone := sorted(set(held["features"]) - set(matrix.columns)):
         raise ValueError(f"the matrix lacks {gone}")
     return matrix, held["categories"], held["features"]
 
-
-def append_trial(trial: DataFrame, folder: str, first: bool = False) -> None:
-    """One trial's result added to the checkpoint; the first one clears it."""
-    trial.write.mode("overwrite" if first else "append").parquet(folder)

@@ -234,14 +234,41 @@ def test_matrix_model_and_profile(spark, tmp_path):
     assert all(v is None or v < 1e-9 for v in served)
     ranked = model.ranked_profile(model.predict(fitted, grid)).where("seq_id = 'v1'").collect()
     assert sorted(r["rank"] for r in ranked) == list(range(1, 16)) and sum(r.reduced_confidence for r in ranked) == 1
-
-
-def test_tuning(spark):
+    assert {r.target_element for r in ranked if r.confidence_note} == {"Samarium"} and {r.atomic_number for r in ranked} == {e[1] for e in vocab.ELEMENTS if e[0] in vocab.PREDICTED}
+    some = spark.createDataFrame([(1, "PDKDGT" * 20), (2, "A" * 100), (3, "AC"), (4, None)], "seq_id int, sequence string")
+    told = {r.seq_id: r for r in model.profile_summary(some, fitted).collect()}
+    assert [(told[i].is_valid, told[i].n_motifs, len(told[i].warnings), told[i].error is None) for i in (1, 2, 3, 4)] == [(True, 20, 1, True), (True, 0, 2, True), (False, 0, 0, False), (False, 0, 0, False)]
+    # rows without features are an error, and can be told beforehand
+    bad = rows.limit(1).withColumn("sequence", F.lit("AX")).unionByName(rows.limit(1).withColumn("sequence", F.lit(None))).unionByName(rows.limit(1).withColumn("target_element", F.lit("Tin")))
+    assert sorted(r.reason for r in features.left_out(bad).collect()) == ["bad_alphabet", "no_sequence", "unknown_element"]
+    with pytest.raises(ValueError, match="bad_alphabet"):
+        features.build_matrix(rows.unionByName(bad))
+
+
+def test_tuning(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 7) * 2 + i % 3, i % 2) for i in range(80)], "a double, b double, value double, fold int")
     draws = model.sample_params(2, rounds=2)
     assert draws == model.sample_params(2, rounds=2)
-    got = model.tune(df, ["a", "b"], draws, 2).collect()
+    df = df.withColumns({"variant_id": F.concat(F.lit("v"), F.col("fold") + 2 * F.col("a").cast("int")), "selectivity_cluster": F.lit(1), "target_element": F.lit("Yttrium")}).drop("fold")
+    df = df.crossJoin(spark.range(5)).drop("id")  # leaves of up to 15 rows must be able to split
+    membership = model.fold_membership(df, outer=2, inner=2)
+    assert all(r.fold not in r.held_in for r in membership.collect()) and membership.where("size(held_in) > 0").count() > 2
+    folder = str(tmp_path / "trials")
+    got = model.tune(df, membership, ["a", "b"], draws, folder).collect()
     assert {r.trial for r in got} == {0, 1} and min(r["rank"] for r in got) == 1
+    monkeypatch.setattr(model, "fit_with_holdout", None)  # trials that are done are not run again
+    assert model.tune(df, membership, ["a", "b"], draws, folder).collect() == got
+    trial, params = model.best_trial(spark, folder)
+    assert trial == min(r.trial for r in got if r["rank"] == 1) and params.depth == draws[trial].depth and 1 <= params.rounds <= 2
+    fitted = model.retrain(df, ["a", "b"], params)
+    bundle = {(r.kind, r.name): r.value for r in model.metric_bundle(model.predict(fitted, df), ("Yttrium", "Cerium")).collect()}
+    assert bundle["overall", "n"] == 400 and bundle["macro", "element"] == bundle["element", "Yttrium"] > 0.5 and ("missing", "Cerium") in bundle and ("missing", "Yttrium") not in bundle
+    home = str(tmp_path / "saved")
+    assert model.model_info(spark, home)["model_version"] == "unknown"
+    model.save_fitted(fitted, spark, home, membership=membership)
+    again = model.load_fitted(spark, home)
+    assert model.model_version(again) == model.model_version(fitted) == model.model_info(spark, home)["model_version"]
+    assert [r.predicted for r in model.predict(again, df).collect()] == [r.predicted for r in model.predict(fitted, df).collect()]
     ranked = model.trial_ranks(spark.createDataFrame([(1, 0.5, 89), (1, 0.5, 73), (1, 0.5, 59), (1, 0.5, 83), (1, 0.5, 50), (2, 0.5, 1), (3, 0.1, 1)], "trial int, score double, best_round int")).collect()
     assert {r.trial: (r["rank"], r.median_round, r.std_score) for r in ranked} == {1: (1, 73, 0.0), 2: (1, 1, 0.0), 3: (3, 1, 0.0)}
 
