@@ -8,8 +8,8 @@ characters before the seam is therefore final, and from the first place on where
 meets a piece start of the right part, with the piece before it final as well, the right part's tokens hold.
 The window grows until there is such a place, so the result provably equals the encoding of the whole.
 
-Scale: a map over Arrow batches; no text is ever split over tasks, cut or sampled. The vocabulary file is read
-once per Python worker from a path that is a parameter.
+Scale: a map over Arrow batches; no text is ever split over tasks, cut or sampled. The vocabulary file, whose path is a
+parameter, is read where the driver runs, shipped to all executors and parsed once per Python worker.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,8 +122,11 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VO
     Repeated rows come out as often as they go in, a null id stays null, other columns are not looked at.
     """
 
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    shipped = Path(vocabulary).name
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TreeEncoder(vocabulary, leaf)
+        encoder = TreeEncoder(SparkFiles.get(shipped), leaf)
         for pdf in batches:
             yield pd.DataFrame({"k": pdf["k"], "ids": [encoder.encode(t) for t in pdf["t"]]}, columns=["k", "ids"])
 
