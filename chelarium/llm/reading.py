@@ -29,7 +29,7 @@ from chelarium.session import settle
 MIN_WORDS = 40
 #: Shares of documents that a word of each familiar list is in, at least; every list reaches a sixth further down.
 CUTS = tuple(0.6 * 0.85**i for i in range(30))
-KNOWN_CUT, KNOWN_SHARE, CLEAR_SHARE = 0.001, 0.5, 0.1
+KNOWN_CUT, KNOWN_SHARE, CLEAR_SHARE = 0.001, 0.5, 0.05
 MAX_GRADED = 20_000
 
 # Frequent function words, by which a text's language is told.
@@ -40,7 +40,7 @@ FUNCTION_WORDS = {
     "es": "el la los las de y es una un en que por con para del se no al como su son lo más este",
 }
 
-# Function words that no neighbouring language has, English beyond doubt where they are a tenth of a text.
+# Function words that no neighbouring language has, English beyond doubt where they are a twentieth of a text.
 CLEARLY_ENGLISH = "the and that with from this were are which have been not it their they she his you but when"
 
 _WORD = re.compile(r"[^\W\d_]+")
