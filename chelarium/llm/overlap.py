@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chelarium.functions.ids import id_key, spelling_key
+from chelarium.functions.exprs import split_name
+from chelarium.functions.ids import id_key
 from chelarium.llm.neardup import SHARE, prefix_length, rarity, run_levels, with_sides
 from chelarium.llm.residues import residue_classes, to_members, variant_residues, within_classes
 from chelarium.llm.shingles import RUN, all_runs, letters, mix, runs, similar_pairs
@@ -32,18 +34,6 @@ from chelarium.session import settle
 WINDOW, REACH, MIN_CHUNK, CHUNKINGS = 2, 4, 7, 5
 TRAIN, VALIDATION, TEST = 1, 2, 4
 
-# Spellings of the splits, lower-case letters only.
-SPLITS = {"train": ("train", "training", "trn"), "validation": ("validation", "val", "valid", "dev", "development"), "test": ("test", "testing", "holdout", "heldout", "tst")}
-
-def split_name(c: Column) -> Column:
-    """train, validation or test; null for any other text."""
-    k = spelling_key(c)
-    out = F.lit(None).cast("string")
-    for name, spelled in SPLITS.items():
-        out = F.when(k.isin(*spelled), name).otherwise(out)
-    return out
-
-
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -115,21 +105,21 @@ def chunk_keys(texts: list[str], levels: np.ndarray) -> tuple[np.ndarray, np.nda
     return o[new], d[new]
 
 
-def chunk_table(classes: DataFrame) -> DataFrame:
-    """(cid, mask, digest) of the chunks of classes (cid, mask, residues) that are joined on."""
-    levels = classes.sparkSession.sparkContext.broadcast(run_levels(classes))
+def chunk_table(classes: DataFrame, levels: Broadcast) -> DataFrame:
+    """(cid, digest) of the chunks of classes (cid, residues) that are joined on; levels: those of run_levels."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             owner, digest = chunk_keys(pdf["residues"].tolist(), levels.value)
-            yield pd.DataFrame({"cid": pdf["cid"].to_numpy()[owner], "mask": pdf["mask"].to_numpy()[owner], "digest": digest})
+            yield pd.DataFrame({"cid": pdf["cid"].to_numpy()[owner], "digest": digest})
 
-    return classes.select("cid", "residues", "mask").mapInPandas(cut, "cid bigint, mask int, digest bigint")
+    return classes.select("cid", "residues").mapInPandas(cut, "cid bigint, digest bigint")
 
 
-def chunk_pairs(chunked: DataFrame) -> DataFrame:
-    """(a, b), a before b: classes on different sides that have a chunk in common."""
-    side = lambda bits, name: chunked.where(F.col("mask").bitwiseAND(bits) != 0).select("digest", F.col("cid").alias(name))
+def chunk_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b), a before b: classes (cid, residues, mask) on different sides that have a chunk in common."""
+    levels = classes.sparkSession.sparkContext.broadcast(run_levels(classes))
+    side = lambda bits, name: chunk_table(classes.where(F.col("mask").bitwiseAND(bits) != 0), levels).withColumnRenamed("cid", name)
     met = side(TRAIN, "t").join(side(VALIDATION + TEST, "e"), "digest").where("t <> e")
     return met.select(F.least("t", "e").alias("a"), F.greatest("t", "e").alias("b")).distinct()
 
@@ -148,7 +138,7 @@ def overlap_fractions(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarra
 def overlapping_classes(classes: DataFrame, share: float = SHARE) -> DataFrame:
     """(a, b, n_a, n_b, of_a, of_b): near-duplicate classes on different sides, a before b, and the fraction of either that the
     chunks of both cover. classes: cid, residues, n_members, mask."""
-    full = with_sides(chunk_pairs(chunk_table(classes)), classes, ["residues", "n_members"])
+    full = with_sides(chunk_pairs(classes), classes, ["residues", "n_members"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,10 +152,11 @@ def overlapping_classes(classes: DataFrame, share: float = SHARE) -> DataFrame:
 
 
 def split_masks(rows: DataFrame) -> DataFrame:
-    """(id, mask): the splits that each variant has rows in, from variant_id and split of `rows`; null splits don't count."""
+    """(id, shown, mask): the smallest spelling of each variant of `rows` and the splits that it has rows in; null splits don't count."""
     s = split_name(F.col("split"))
     bit = F.when(s == "train", TRAIN).when(s == "validation", VALIDATION).when(s == "test", TEST)
-    return rows.select(id_key("variant_id").alias("id"), bit.alias("bit")).where("id IS NOT NULL AND bit IS NOT NULL").groupBy("id").agg(F.bit_or("bit").alias("mask"))
+    read = rows.select(id_key("variant_id").alias("id"), F.trim("variant_id").alias("s"), bit.alias("bit")).where("id IS NOT NULL")
+    return read.groupBy("id").agg(F.min("s").alias("shown"), F.bit_or("bit").alias("mask")).where("mask IS NOT NULL")
 
 
 def cross_split_overlaps(rows: DataFrame, variants: DataFrame) -> DataFrame:
@@ -176,16 +167,15 @@ def cross_split_overlaps(rows: DataFrame, variants: DataFrame) -> DataFrame:
     smallest spelling in `rows` and can only overlap with themselves.
     """
     masks = settle(split_masks(rows))
-    known = settle(masks.join(variant_residues(variants), "id").select("id", "variant_id", "mask", "residues"))
+    known = settle(masks.drop("shown").join(variant_residues(variants), "id").select("id", "variant_id", "mask", "residues"))
     classes, members = residue_classes(known, ["variant_id", "mask"])
     class_masks = members.groupBy("cid").agg(F.bit_or("mask").alias("mask"))
     masked = settle(classes.join(class_masks, "cid"))
     across = to_members(overlapping_classes(masked), members, "variant_id").select("x", "y", F.col("of_a").alias("of_x"), F.col("of_b").alias("of_y"))
     whole = [F.lit(1.0).alias("of_x"), F.lit(1.0).alias("of_y")]
     equal = within_classes(members, "variant_id").select("x", "y", *whole)
-    shown = rows.select(id_key("variant_id").alias("id"), F.trim("variant_id").alias("s")).where("id IS NOT NULL").groupBy("id").agg(F.min("s").alias("s"))
-    named = masks.where(F.col("mask").bitwiseAND(TRAIN) != 0).join(known.select("id", "variant_id"), "id", "left").join(shown, "id")
-    same = named.select(F.struct(F.coalesce("variant_id", "s").alias("variant_id"), "mask").alias("x")).select("x", F.col("x").alias("y"), *whole)
+    named = masks.where(F.col("mask").bitwiseAND(TRAIN) != 0).join(known.select("id", "variant_id"), "id", "left")
+    same = named.select(F.struct(F.coalesce("variant_id", "shown").alias("variant_id"), "mask").alias("x")).select("x", F.col("x").alias("y"), *whole)
     pairs = across.unionByName(equal).unionByName(same)
     meets = lambda bit: ((F.col("x.mask").bitwiseAND(TRAIN) != 0) & (F.col("y.mask").bitwiseAND(bit) != 0)) | ((F.col("y.mask").bitwiseAND(TRAIN) != 0) & (F.col("x.mask").bitwiseAND(bit) != 0))
     found = F.array_compact(F.array(F.when(meets(VALIDATION), F.lit("validation")), F.when(meets(TEST), F.lit("test"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from chelarium.functions.ids import id_key_sql
 from chelarium.functions.mutations import THREE_LETTER
-from chelarium.llm.overlap import SPLITS
+from chelarium.functions.vocab import SPLITS
 
 _ONE = "(CASE lower({0}) " + " ".join(f"WHEN '{k.lower()}' THEN '{v}'" for k, v in THREE_LETTER.items()) + " ELSE upper({0}) END)"
 _CLEAN = "upper(regexp_replace(regexp_replace(sequence, '(?m)^>.*$', '', 'g'), '[^A-Za-z]', '', 'g'))"

@@ -100,7 +100,7 @@ def test_a_common_tag_forms_no_pairs_of_chunks(spark):
     seqs = ["M" + tag + "".join(rng.choices(AA, k=200)) for _ in range(2000)]
     twins = [s[:90] + "WW" + s[92:] for s in seqs[:50]]
     df = spark.createDataFrame([(k, s, 1, k % 2 + 1) for k, s in enumerate(seqs)] + [(5000 + k, s, 1, 2 - k % 2) for k, s in enumerate(twins)], "cid bigint, residues string, n_members bigint, mask int")
-    assert overlap.chunk_pairs(overlap.chunk_table(df)).count() < 200
+    assert overlap.chunk_pairs(df).count() < 200
     found = overlap.overlapping_classes(df).collect()
     assert len(found) == 50 and all(0.6 < r.of_a < 1 and 0.6 < r.of_b < 1 for r in found)
 
