@@ -81,8 +81,12 @@ def profile_rows(sequences: DataFrame, categories: dict[str, list[str]], names:
     if (INSTABILITY in names) != bool(weights):
         raise ValueError(f"{INSTABILITY} needs the weights of the training matrix, and only if that has it")
     spark = sequences.sparkSession
+    if unknown := sorted(set(elements) - {e[0] for e in vocab.ELEMENTS}):
+        raise ValueError(f"unknown elements: {unknown}")
     checked = sequences.withColumn("_v", protein.validated_sequence("sequence")).where("_v.is_valid").select("seq_id", F.col("_v.sequence").alias("sequence"))
-    listed = spark.createDataFrame([(e, i) for i, e in enumerate(elements)], "target_element string, element_place int")
-    rows = feature_rows(checked.crossJoin(F.broadcast(listed)), weights)  # a sequence by the listed elements is the wanted result
+    listed = spark.createDataFrame([(e, i) for i, e in enumerate(elements)], "target_element string, element_place int").join(_elements(sequences), "target_element")
+    per_sequence = settle(sequence_features(checked.select("sequence"), weights=weights))
+    # a sequence by the listed elements, 17 at most, is the wanted result
+    rows = checked.join(per_sequence, "sequence").crossJoin(F.broadcast(listed))
     numerics = [c for c in rows.columns if c not in ("seq_id", "sequence", "target_element", "element_place") and c not in CATEGORICAL]
     return encode.align(encode.encode(rows, categories, numerics), names, ["seq_id", "target_element", "element_place"])

@@ -74,7 +74,8 @@ def repair(variants: DataFrame, measurements: DataFrame) -> tuple[DataFrame, Dat
     names = enriched_names((variants, "variant_id"), (measurements, "variant_id"))
     v = enrich_variants(variants, names)
     m = enrich_measurements(measurements, v, names)
-    made = created_parents(m, v, names).withColumns({"source_organism": F.lit("(auto-created from measurement)"), "pos": F.lit(1 << 30), "source_paper": F.col("paper_id")})
+    # no listed variant has the key of a created one, so their place decides nothing
+    made = created_parents(m, v, names).withColumns({"source_organism": F.lit("(auto-created from measurement)"), "pos": F.lit(0), "source_paper": F.col("paper_id")})
     return merge_duplicates(v.drop("raw_id").unionByName(made, allowMissingColumns=True), ["paper_id", "variant_id"], "pos").drop("n_records"), m
 
 

@@ -142,7 +142,7 @@ def q_motifs(spark, sf_dir):
 def q_motif_features(spark, sf_dir):
     d = _letters(spark, sf_dir).withColumn("hits", protein.motifs(F.col("s")))
     numbers, letters = protein.motif_numbers(F.col("hits"), F.col("s")), protein.motif_letters(F.col("hits"))
-    return _rounded(d.select("record_id", *(c.alias(n) for n, c in numbers.items()), letters["ef1_pos0"].alias("ef1_pos0"), letters["ef4_pos5"].alias("ef4_pos5")))
+    return _rounded(d.select("record_id", *(c.alias(n) for n, c in numbers.items()), *(c.alias(n) for n, c in letters.items())))
 
 
 def q_composition(spark, sf_dir):
@@ -300,7 +300,18 @@ def q_feature_matrix(spark, sf_dir):
     return _rounded(_matrix(spark, sf_dir)[0])
 
 
+_FITS: dict = {}
+
+
 def _fitted(spark, sf_dir):
+    """The fit of _fit, made once for each session and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _FITS:
+        _FITS[key] = _fit(spark, sf_dir)
+    return _FITS[key]
+
+
+def _fit(spark, sf_dir):
     """(fitted, matrix, categories, names): the production parameters; the best number of trees by a holdout carved from the training variants."""
     matrix, categories, names = _matrix(spark, sf_dir)
     strata = folds.entity_strata(matrix.where("split = 'train'"), "variant_id", "selectivity_cluster")

@@ -36,10 +36,13 @@ hits AS (SELECT record_id, s, m, list_transform(range(1, len(m) + 1), lambda i:
 
 _N_END = "(CASE left(s, 1) " + " ".join(f"WHEN '{r}' THEN {pk}" for r, pk in protein.N_END_PK_OF.items()) + f" ELSE {protein.N_END_PK} END)"
 _C_END = "(CASE right(s, 1) " + " ".join(f"WHEN '{r}' THEN {pk}" for r, pk in protein.C_END_PK_OF.items()) + f" ELSE {protein.C_END_PK} END)"
-_CHARGE = (
-    f"1 / (pow(10, 7 - {_N_END}) + 1) + " + " + ".join(f"{_count(r)} / (pow(10, 7 - {pk}) + 1)" for r, pk in protein.POSITIVE_PK.items())
-    + f" - 1 / (pow(10, {_C_END} - 7) + 1) - " + " - ".join(f"{_count(r)} / (pow(10, {pk} - 7) + 1)" for r, pk in protein.NEGATIVE_PK.items())
-)
+
+
+def _charge(ph: str) -> str:
+    plus = " + ".join(f"{_count(r)} / (pow(10, {ph} - {pk}) + 1)" for r, pk in protein.POSITIVE_PK.items())
+    minus = " - ".join(f"{_count(r)} / (pow(10, {pk} - {ph}) + 1)" for r, pk in protein.NEGATIVE_PK.items())
+    return f"1 / (pow(10, {ph} - {_N_END}) + 1) + {plus} - 1 / (pow(10, {_C_END} - {ph}) + 1) - {minus}"
+
 
 _FAMILY = "(CASE WHEN value_type IS NULL THEN NULL ELSE " + _case("lower(trim(value_type))", {t: f for f, ts in vocab.FAMILIES.items() for t in ts}, "'other'") + " END)"
 _SCALE = "replace(replace(replace(lower(" + _STRIP.format("value_units") + "), ' ', ''), 'mol', 'm'), 'l^{-1}', '')"
@@ -92,12 +95,18 @@ g AS (SELECT variant, count(*) AS n_records, """
     "q_motif_features": f"""WITH {_HITS}, gaps AS (SELECT *, list_transform(range(2, len(st) + 1), lambda i: CAST(st[i] - st[i - 1] AS DOUBLE)) AS gap FROM hits)
 SELECT record_id, CAST(len(m) AS INT) AS ef_hand_count, round(CASE WHEN len(m) > 1 THEN list_avg(gap) END, 6) AS ef_hand_mean_spacing, round(CASE WHEN len(m) > 1 THEN list_stddev_pop(gap) END, 6) AS ef_hand_spacing_stdev,
   round(CASE WHEN len(m) > 1 THEN (st[len(st)] - st[1]) / length(s) END, 6) AS ef_hand_span_fraction, CAST(len(m) = 4 AS INT) AS has_four_ef_hands,
-  coalesce(substr(m[1], 1, 1), 'MISSING') AS ef1_pos0, coalesce(substr(m[4], 6, 1), 'MISSING') AS ef4_pos5 FROM gaps""",
+  """ + ", ".join(f"coalesce(substr(m[{k}], {p + 1}, 1), 'MISSING') AS ef{k}_pos{p}" for k in (1, 2, 3, 4) for p in (0, 2, 5)) + " FROM gaps",
     "q_composition": f"WITH {_LETTERS} SELECT record_id, length(s) AS length, " + ", ".join(f"round({_count(r)} / length(s), 6) AS pct_{r.lower()}" for r in protein.FRACTIONS)
     + f", round({_count(protein.HYDROPHOBIC)} / length(s), 6) AS hydrophobicity_pct, round(CASE WHEN {_count(protein.BASIC)} = 0 THEN {_count(protein.ACIDIC)} ELSE {_count(protein.ACIDIC)} / {_count(protein.BASIC)} END::DOUBLE, 6) AS acidic_basic_ratio"
     + ", round(" + " + ".join(f"{_count(r)} * {w}::DOUBLE" for r, w in protein.MASSES.items()) + f" - (length(s) - 1) * {protein.WATER}::DOUBLE, 6) AS molecular_weight"
     + f", round({_count(protein.AROMATIC)} / length(s), 6) AS aromaticity, round((" + " + ".join(f"{_count(r)} * ({w})::DOUBLE" for r, w in protein.HYDROPATHY.items()) + ") / length(s), 6) AS gravy FROM letters",
-    "q_charge": f"WITH {_LETTERS} SELECT record_id, round({_CHARGE}, 6) AS charge FROM letters",
+    "q_charge": f"WITH {_LETTERS} SELECT record_id, round({_charge('7')}, 6) AS charge FROM letters",
+    "q_isoelectric_point": f"""WITH RECURSIVE {_LETTERS},
+halved(record_id, s, lo, hi, k) AS (
+  SELECT record_id, s, {protein.PI_LOW}::DOUBLE, {protein.PI_HIGH}::DOUBLE, 0 FROM letters
+  UNION ALL SELECT record_id, s, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, k + 1
+  FROM (SELECT *, {_charge('mid')} > 0 AS up FROM (SELECT *, (lo + hi) / 2 AS mid FROM halved WHERE k < {protein.PI_STEPS})))
+SELECT record_id, round((lo + hi) / 2, 4) AS pi FROM halved WHERE k = {protein.PI_STEPS}""",
     "q_validate_sequence": rf"""WITH l AS (SELECT record_id, sequence, list_transform(string_split_regex({_STRIP.format('sequence')}, '\r\n|[\r\n\v\f]'), lambda x: {_STRIP.format('x')}) AS ls FROM protein_variants),
 b AS (SELECT record_id, sequence, len(list_filter(ls, lambda x: starts_with(x, '>'))) AS h, upper(regexp_replace(array_to_string(list_filter(ls, lambda x: NOT starts_with(x, '>')), ''), '[\s\p{{Z}}]+', '', 'g')) AS s FROM l),
 e AS (SELECT record_id, CASE WHEN sequence IS NULL THEN 'No sequence' WHEN h > 1 THEN 'Multiple FASTA' WHEN length(s) = 0 THEN 'No sequence' WHEN length(s) < 80 THEN 'Too short' WHEN length(s) > 400 THEN 'Too long' WHEN NOT regexp_full_match(s, '[{protein.CANONICAL}]*') THEN 'Not canonical:' END AS error, CAST(CASE WHEN sequence IS NULL OR h > 1 THEN 0 ELSE length(s) END AS INT) AS length FROM b)

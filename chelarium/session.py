@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_FOLDERS: set[str] = set()
+
+
 def build_session(app: str = "chelarium", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings this package relies on; anything already set by the launcher wins."""
     builder = SparkSession.builder.appName(app)
@@ -44,7 +47,20 @@ def scratch_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         base = f"file://{local}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/chelarium-{spark.sparkContext.applicationId}"
+    if own not in _OWN_FOLDERS:
+        _OWN_FOLDERS.add(own)
+        atexit.register(_drop, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """What an application has settled is removed when it ends; results may be read until then."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has been stopped before: nothing can be reached any more
+        pass
 
 
 def settle(df: DataFrame) -> DataFrame:
