@@ -8,7 +8,7 @@ best is kept.
 Scale: components come from a distributed contraction. Those with more than 1/GIANTS of all entities (GIANTS at
 most) are annealed first, in one chain set; what they leave of each split is the aim of all others, which are
 dealt by hash into buckets of about BUCKET components and annealed in parallel, a bucket being its own sample
-of all labels. Label counts per component have LABELS entries at most. No row is dropped or capped.
+of all labels. A component carries counts of the labels that it has, and a bucket looks at those of its components. No row is dropped or capped.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from chelarium.llm.components import connected_components, join_summary, link_ed
 from chelarium.session import settle
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-GIANTS, BUCKET, LABELS = 2000, 4000, 64
+GIANTS, BUCKET = 2000, 4000
+#: Labels are categories; a column with more of them is refused.
+MAX_LABELS = 10_000
 CHAINS, STEPS_PER_COMPONENT = 4, 12
 
 
@@ -108,34 +110,43 @@ def hashed_split(keys: list[str], proportions: list[float], seed: int) -> np.nda
 def split_groups(rows: DataFrame, entity: str, by: list[str], label: str, names: DataFrame, proportions: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
     """(name, group_id, split): every entity of rows with the split of its component; alone standing ones are components.
 
-    An entity's label is the smallest it has; null labels are a label of their own. Labels beyond the LABELS - 1 most
-    frequent count as one. An empty table gives no row.
+    An entity's label is the smallest it has; null labels are a label of their own. Every label is aimed at by itself; more than MAX_LABELS are an
+    error. An empty table gives no row.
     """
     proportions = proportions or PROPORTIONS
     splits, aims = list(proportions), np.array(list(proportions.values())) / sum(proportions.values())
     labels = rows.select(id_key(entity).alias("node"), F.col(label).cast("string").alias("l")).where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("l"), F.lit("")).alias("l"))
     grouped = linked_groups(rows, entity, by, names).select("node", "group_id")
     members = settle(names.join(labels, "node").join(grouped, "node", "left").select("name", "l", F.coalesce("group_id", "name").alias("group_id")))
-    frequent = [r["l"] for r in members.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LABELS - 1).collect()]
-    place = {v: i for i, v in enumerate(frequent)}
-    width = len(frequent) + 1
-    per_label = [F.count(F.when(F.col("l") == v, 1)).alias(f"c{i}") for v, i in place.items()]
-    other = F.count(F.when(~F.col("l").isin(frequent) if frequent else F.lit(True), 1)).alias(f"c{width - 1}")
-    comps = settle(members.groupBy("group_id").agg(F.count("*").alias("n"), *per_label, other).withColumn("counts", F.array(*(f"c{i}" for i in range(width)))).select("group_id", "n", "counts"))
+    per_label = members.groupBy("l").agg(F.count("*").alias("c")).orderBy("l").limit(MAX_LABELS + 1).collect()
+    if len(per_label) > MAX_LABELS:
+        raise ValueError(f"{label} has more than {MAX_LABELS} values and is no category")
+    place, sums = {r["l"]: i for i, r in enumerate(per_label)}, np.array([r["c"] for r in per_label], dtype=float)
+    counted = members.groupBy("group_id", "l").agg(F.count("*").alias("c"))
+    comps = settle(counted.groupBy("group_id").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("l", "c"))).alias("counts")))  # MAX_LABELS entries each
     total, n_comps = comps.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
     giant = F.col("n") > max(1, total // GIANTS)
     big = comps.where(giant).orderBy("group_id").collect()
-    sums = np.array(comps.select(*(F.sum(F.col("counts")[i]) for i in range(width))).first(), dtype=object)
-    sums = np.array([x or 0 for x in sums], dtype=float)
+
+    def dense(counts: list, labels: list[str]) -> np.ndarray:
+        at = {v: i for i, v in enumerate(labels)}
+        out = np.zeros((len(counts), len(labels)))
+        for k, pairs in enumerate(counts):
+            for l, c in pairs:
+                out[k, at[l]] = c
+        return out
+
     want = sums[:, None] * aims
     if big:
-        sizes = np.array([r["counts"] for r in big], dtype=float)
+        held = sorted({l for r in big for l, _ in r["counts"]})
+        sizes = dense([r["counts"] for r in big], held)
         start = hashed_split([r["group_id"] for r in big], list(aims), seed)
         # giants may take no more than their split's share: aim at their own sum in proportion
-        placed = anneal(sizes, np.tile(aims, (width, 1)), start, seed, chains=4 * CHAINS)
+        placed = anneal(sizes, np.tile(aims, (len(held), 1)), start, seed, chains=4 * CHAINS)
+        rows_of = [place[l] for l in held]
         for s in range(len(splits)):
-            want[:, s] -= sizes[placed == s].sum(axis=0)
+            want[rows_of, s] -= sizes[placed == s].sum(axis=0)
     want = np.maximum(want, 0)
     rest = want.sum(axis=1, keepdims=True)
     share = np.where(rest > 0, want / np.maximum(rest, 1e-9), aims)
@@ -144,8 +155,10 @@ def split_groups(rows: DataFrame, entity: str, by: list[str], label: str, names:
     def place_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group_id")
         keys = pdf["group_id"].tolist()
-        sizes = np.array(pdf["counts"].tolist(), dtype=float)
-        found = anneal(sizes, share, hashed_split(keys, list(share.sum(axis=0)), seed), seed)
+        counts = [[(p["l"], p["c"]) for p in pairs] for pairs in pdf["counts"]]
+        labels = sorted({l for pairs in counts for l, _ in pairs})
+        own = share[[place[l] for l in labels]]
+        found = anneal(dense(counts, labels), own, hashed_split(keys, list(own.sum(axis=0)), seed), seed)
         return pd.DataFrame({"group_id": keys, "n": pdf["n"].to_numpy(), "split": [splits[s] for s in found]})
 
     schema = "group_id string, n bigint, split string"

@@ -98,6 +98,17 @@ def test_split_keeps_groups_and_proportions(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
+def test_every_label_is_balanced(spark, monkeypatch):
+    rows = [(f"v{i}", None, None, i % 100) for i in range(8000)]
+    df = table(spark, rows)
+    names = splits.entity_names(df, "variant_id")
+    cells = Counter((int(r["name"][1:]) % 100, r.split) for r in splits.split_groups(df, "variant_id", ["source_paper", "submitter"], "selectivity_cluster", names).collect())
+    assert all(abs(cells[c, s] / 80 - share) < 0.06 for c in range(100) for s, share in splits.PROPORTIONS.items())
+    monkeypatch.setattr(splits, "MAX_LABELS", 99)
+    with pytest.raises(ValueError, match="category"):
+        splits.split_groups(df, "variant_id", ["source_paper", "submitter"], "selectivity_cluster", names)
+
+
 def test_anneal_improves_on_the_hash():
     rng = np.random.default_rng(0)
     sizes = rng.integers(0, 6, (300, 4)).astype(float)
