@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chelarium.functions.ids import id_key
 from chelarium.functions.mutations import canonical_mutations
 from chelarium.llm.components import join_summary
-from chelarium.session import settle
+from chelarium.session import drop_settled, settle
 
 MIN_RESIDUES = 50
 #: A parent may be that of a third of all variants; its row is sent to so many tasks.
@@ -51,23 +51,27 @@ def variant_residues(variants: DataFrame) -> DataFrame:
         id_key("variant_id").alias("id"), "variant_id", order.alias("o"), clean_residues(F.col("sequence")).alias("own"),
         F.struct(id_key("parent_variant_id").alias("parent"), F.col("mutations")).alias("origin"),
     ).where("id IS NOT NULL")
-    one = rec.groupBy("id").agg(
-        F.min("variant_id").alias("variant_id"),
-        F.min_by("own", F.when(F.col("own").isNotNull(), F.col("o"))).alias("own"),
-        F.min_by("origin", "o").alias("origin"),
+    one = settle(
+        rec.groupBy("id").agg(
+            F.min("variant_id").alias("variant_id"),
+            F.min_by("own", F.when(F.col("own").isNotNull(), F.col("o"))).alias("own"),
+            F.min_by("origin", "o").alias("origin"),
+        ),
+        compression="zstd",
     )
-    needy = one.where("own IS NULL AND origin.parent IS NOT NULL").select("id", F.col("origin.parent").alias("parent"), F.col("origin.mutations").alias("mutations"))
+    is_needy = F.expr("own IS NULL AND origin.parent IS NOT NULL")
     salt = F.pmod(F.xxhash64("id"), F.lit(PARENT_COPIES)).cast("int")
-    wanted = needy.groupBy("parent").agg(F.collect_set(salt).alias("salts"))  # at most PARENT_COPIES each
+    needy = one.where(is_needy).select("id", "variant_id", F.col("origin.parent").alias("parent"), F.col("origin.mutations").alias("mutations"), salt.alias("salt"))
+    wanted = needy.groupBy("parent").agg(F.collect_set("salt").alias("salts"))  # at most PARENT_COPIES each
     parents = one.where("own IS NOT NULL").select(F.col("id").alias("parent"), F.col("own").alias("of_parent")).join(wanted, "parent").select("parent", "of_parent", F.explode("salts").alias("salt"))
 
     def derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [mutate(r, [x for x in (m if m is not None else []) if x]) for r, m in zip(pdf["of_parent"], pdf["mutations"])]
-            yield pd.DataFrame({"id": pdf["id"], "derived": found}, columns=["id", "derived"])
+            found = [None if r is None else mutate(r, [x for x in (m if m is not None else []) if x]) for r, m in zip(pdf["of_parent"], pdf["mutations"])]
+            yield pd.DataFrame({"id": pdf["id"], "variant_id": pdf["variant_id"], "residues": found}, columns=["id", "variant_id", "residues"])
 
-    derived = needy.withColumn("salt", salt).join(parents, ["parent", "salt"]).select("id", "of_parent", "mutations").mapInPandas(derive, "id string, derived string")
-    return one.join(derived, "id", "left").select("id", "variant_id", F.coalesce("own", "derived").alias("residues"))
+    derived = needy.join(parents, ["parent", "salt"], "left").select("id", "variant_id", "of_parent", "mutations").mapInPandas(derive, "id string, variant_id string, residues string")
+    return one.where(~is_needy).select("id", "variant_id", F.col("own").alias("residues")).unionByName(derived)
 
 
 def residue_classes(residues: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -76,10 +80,12 @@ def residue_classes(residues: DataFrame, kept: list[str]) -> tuple[DataFrame, Da
     Rows without residues are in neither. A class of any size is counted before it is shuffled, and its members are sent
     through a broadcast of the few large classes, never to one task.
     """
-    known = settle(residues.where("residues IS NOT NULL").select(F.unhex(F.sha2("residues", 256)).alias("h"), "residues", *kept))
-    classes = settle(known.groupBy("h").agg(F.min("residues").alias("residues"), F.count("*").alias("n_members")).withColumn("cid", F.monotonically_increasing_id()))
-    members = join_summary(known.select("h", *kept), classes.select("h", "cid", "n_members"), "h", known.count(), "n_members")
-    return classes.drop("h"), settle(members.select("cid", "n_members", *kept))
+    stored = settle(residues.where("residues IS NOT NULL").select("residues", *kept), compression="zstd")
+    known = stored.withColumn("h", F.unhex(F.sha2("residues", 256)))
+    classes = settle(known.groupBy("h").agg(F.min("residues").alias("residues"), F.count("*").alias("n_members")).withColumn("cid", F.monotonically_increasing_id()), compression="zstd")
+    members = settle(join_summary(known.select("h", *kept), classes.select("h", "cid", "n_members"), "h", known.count(), "n_members").select("cid", "n_members", *kept))
+    drop_settled(stored.sparkSession, stored)
+    return classes.drop("h"), members
 
 
 def bucket_count(n: Column) -> Column:

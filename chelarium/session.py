@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,10 +65,23 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def settle(df: DataFrame) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is executed within are removed as it ends; otherwise they stay until the driver happens to collect its garbage twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
